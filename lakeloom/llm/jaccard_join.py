@@ -4,9 +4,12 @@ Rows of the sparse matrix are documents, columns are distinct n-grams. Two docum
 ``100 * |A & B| >= percent * |A | B|``. The product is never formed as a list of pairs:
 
 1. Documents with equal sets are one class, so copies cost one matrix row.
-2. A global column order puts n-grams that many documents hold last. A linked pair must share a
-   column among the first ``n - ceil(percent * n / 100) + 1`` of either set (the size-derived
-   bound), so only those entries of the matrix are shuffled, by column.
+2. Columns are ordered by how many classes hold them. A linked pair must share a column among
+   the first ``n - ceil(percent * n / 100) + 1`` of either set in that order (the size-derived
+   bound). To find those entries only the columns in the lowest ``SHARE`` of the hash space are
+   shuffled and counted, over all documents; they stand before all other columns, which only
+   sets with too few low ones need. Entries that one class alone holds meet nothing and end here,
+   and with them every document that has enough of them.
 3. Columns with two or more classes tie their classes to the least one of them; the connected
    parts of these ties are the blocks outside of which every product is below the bound.
 4. In each block (large ones are split into block pairs) overlap counts are accumulated column
@@ -23,19 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import textvec
 from lakeloom.llm.graph import components
 from lakeloom.llm.scratch import Scratch
 
-HOT_AT = 16  # documents from which an n-gram counts as frequent
-HOT_MOST = 1 << 18  # frequent n-grams kept (2 MB); the others stay in hash order
+SHARE = 0.2  # of the hash space: the columns that are counted
 BLOCK_ROWS = 512  # classes in one side of a block pair
 WHOLE_ROWS = 1024  # a block up to this size is not split
 SLICE_COLUMNS = 4096  # columns whose overlaps are accumulated at once
-GATHER = 2_000_000  # n-grams a task counts at once
+SEEN = 200_000  # classes a task remembers, to send copies once
 BROADCAST_ROWS = 200_000  # candidate ids are broadcast up to this checked count
 
 
@@ -43,11 +45,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _class_of(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
-    total = textvec.mix(np.array([grams.sum(dtype=np.uint64) + np.uint64(len(grams))], np.uint64))
-    twisted = np.bitwise_xor.reduce(textvec.mix(grams + np.uint64(0x9E3779B97F4A7C15)))
-    return int(_signed(total)[0]), int(np.array([twisted], np.uint64).view(np.int64)[0])
+def _class_of(grams: np.ndarray) -> int:
+    """64 bits that equal sets share; used together with the set's size."""
+    folded = grams.sum(dtype=np.uint64) ^ textvec.mix(np.bitwise_xor.reduce(textvec.mix(grams + np.uint64(0x9E3779B97F4A7C15)))[None])[0]
+    return int(_signed(np.array([folded], np.uint64))[0])
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -56,68 +57,42 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _survey(width: int, fold: bool):
-    """Per document its set size and class; per gathered slice the n-grams that at least two classes hold."""
+    """The set size and class of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
-        size = 0
-
-        def counted() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            grams, counts = grams[counts > 1], counts[counts > 1]
-            none = pa.nulls(len(grams), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(counts.astype(np.int64)), pa.array(_signed(grams)), none], names=["doc_id", "n", "c1", "c2"])
-
         for batch in batches:
             ids = batch.column(0)
             data, offsets = textvec.string_buffers(batch.column(1))
-            n, c1, c2 = (np.zeros(len(ids), np.int64) for _ in range(3))
+            n, c = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64)
             for row, grams in textvec.document_shingles(data, offsets, width, fold):
                 if len(grams):
-                    n[row], (c1[row], c2[row]) = len(grams), _class_of(grams)
-                    if (key := (c1[row], c2[row])) not in seen:
-                        seen.add(key)
-                        held.append(grams)
-                        size += len(grams)
-                if size >= GATHER:
-                    yield counted()
-                    held, size = [], 0
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(c1), pa.array(c2)], names=["doc_id", "n", "c1", "c2"])
-        if held:
-            yield counted()
+                    n[row], c[row] = len(grams), _class_of(grams)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(c)], names=["doc_id", "n", "c"])
 
     return run
 
 
-def _prefixes(width: int, fold: bool, percent: int, hot):
-    """(column, class) for the entries within each set's size-derived prefix."""
+def _low_entries(width: int, fold: bool, percent: int):
+    """(column, class, size) of each set's low columns, and of further ones where those are fewer than its prefix."""
+    low = np.uint64(int(SHARE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = hot.value
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = textvec.string_buffers(batch.column(0))
-            seen: set[tuple[int, int]] = set()
-            columns, classes, others = [], [], []
+            columns, classes, sizes = [], [], []
             for _, grams in textvec.document_shingles(data, offsets, width, fold):
                 if not len(grams) or (key := _class_of(grams)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
-                take = prefix_length(len(grams), percent)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                    is_hot = frequent[at] == grams
-                    cold = grams[~is_hot]
-                    if len(cold) < take:
-                        late = grams[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]
-                        cold = np.concatenate([cold, late])
-                    grams = cold
+                take = max(int(np.searchsorted(grams, low)), prefix_length(len(grams), percent))
                 columns.append(grams[:take])
-                classes.append(np.full(take, key[0], np.int64))
-                others.append(np.full(take, key[1], np.int64))
+                classes.append(np.full(take, key, np.int64))
+                sizes.append(np.full(take, len(grams), np.int32))
             if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(columns))), pa.array(np.concatenate(classes)), pa.array(np.concatenate(others))], names=["g", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(columns))), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["g", "c", "n"])
 
     return run
 
@@ -223,21 +198,20 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = scratch.keep(docs.mapInArrow(_survey(width, fold), "doc_id long, n long, c1 long, c2 long").withColumn("gram", F.col("doc_id").isNull() & (F.col("c2").isNull())), "survey")
-    sized = survey.where("not gram").select("doc_id", "n", "c1", "c2")
-    # bounded by HOT_MOST, whatever the input: the most frequent n-grams, in order of frequency
-    top = survey.where("gram").groupBy("c1").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT).orderBy(F.desc("n"), "c1").limit(HOT_MOST).toPandas()
-    grams, counts = top["c1"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    by_value = np.argsort(grams)
-    hot = spark.sparkContext.broadcast((grams[by_value], counts[by_value]))
-
-    classes = scratch.keep(sized.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id")).where("id is not null"), "classes")
-    entries = scratch.keep(docs.select("text").mapInArrow(_prefixes(width, fold, percent, hot), "g long, c1 long, c2 long"), "entries")
-    columns = entries.groupBy("g").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low <> high").select("g", F.col("low.c1").alias("l1"), F.col("low.c2").alias("l2"))
-    ties = scratch.keep(entries.join(columns, "g").where("not (c1 = l1 and c2 = l2)").select("c1", "c2", "l1", "l2").distinct(), "ties")
-    scratch.drop("entries")
-    ids = classes.select("c1", "c2", "id")
-    named = ties.join(ids, ["c1", "c2"]).select("l1", "l2", F.col("id").alias("u")).join(ids.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), F.col("id").alias("v")), ["l1", "l2"]).select("u", "v")
+    survey = scratch.keep(docs.mapInArrow(_survey(width, fold), "doc_id long, n int, c long"), "survey")
+    classes = scratch.keep(survey.where("n > 0 and doc_id is not null").groupBy("c", "n").agg(F.min("doc_id").alias("id")), "classes")
+    low = docs.select("text").mapInArrow(_low_entries(width, fold, percent), "g long, c long, n int").repartition("g").distinct()
+    held = low.withColumn("df", F.count("*").over(Window.partitionBy("g")))
+    # unsigned order of the column: low ones (never negative, as SHARE < 1/2) come before further ones
+    late = (F.col("g") < 0) | (F.col("g") > int(SHARE * 2**64))
+    met = F.when(F.col("df") > 1, F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), F.col("g")))
+    alone = F.count_if((F.col("df") == 1) & ~late)
+    per_class = held.groupBy("c", "n").agg(alone.alias("alone"), F.sort_array(F.collect_list(met)).alias("met"))
+    need = F.col("n") - F.expr(f"cast(ceil({percent} * cast(n as long) / 100) as int)") + 1 - F.col("alone").cast("int")
+    entries = scratch.keep(per_class.where(need > 0).select("c", "n", F.explode(F.slice("met", F.lit(1), need)).alias("m")).select("c", "n", F.col("m.g").alias("g")), "entries")
+    columns = entries.groupBy("g").agg(F.min(F.struct("c", "n")).alias("low"), F.max(F.struct("c", "n")).alias("high")).where("low <> high").select("g", F.col("low.c").alias("lc"), F.col("low.n").alias("ln"))
+    ties = entries.join(columns, "g").where("not (c = lc and n = ln)").select("c", "n", "lc", "ln").distinct()
+    named = ties.join(classes, ["c", "n"]).select("lc", "ln", F.col("id").alias("u")).join(classes.select(F.col("c").alias("lc"), F.col("n").alias("ln"), F.col("id").alias("v")), ["lc", "ln"]).select("u", "v")
     block_of = components(named, scratch, "blocks")
     parts = block_of.groupBy("component").agg(F.count("*").alias("rows")).select("component", F.when(F.col("rows") <= WHOLE_ROWS, 1).otherwise(F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("parts"))
     member = scratch.keep(block_of.join(parts, "component").select(F.col("u").alias("doc_id"), F.col("component").alias("block"), "parts"), "member")
@@ -250,6 +224,6 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     dealt = sets.withColumn("part", own).withColumn("other", other).select("grams", "id", "part", "block", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     edges = dealt.groupBy("block", "p", "q").applyInArrow(_product(percent), "u long, v long")
     linked = components(edges, scratch, "links")
-    of_class = scratch.keep(classes.join(linked.withColumnRenamed("u", "id"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component")), "of_class")
-    scratch.drop("ties", "member")
-    return sized.join(of_class, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = classes.join(linked.withColumnRenamed("u", "id"), "id", "left").select("c", "n", F.coalesce("component", "id").alias("component"))
+    scratch.drop("entries", "member")
+    return survey.join(of_class, ["c", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
