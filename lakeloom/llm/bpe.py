@@ -1,15 +1,17 @@
 """Byte-level BPE over whole Arrow batches.
 
 The published pre-tokenizer pattern is evaluated with NumPy over code points; every distinct
-piece is then encoded once per worker by the ``tokenizers`` library and its ids are gathered.
-The ids equal ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings read
-as ordinary text.
+piece is then encoded once per worker and its ids are gathered. The vocabulary and its merge
+order come from a ``tokenizers`` file; single pieces are merged by ``tiktoken``'s core, which is
+several times as fast on a cache miss. The ids equal those of the ``tokenizers`` library,
+``Tokenizer.encode(text, add_special_tokens=False)`` with special strings read as ordinary text
+(the tests compare the two).
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -73,11 +75,17 @@ class PieceEncoder:
     """Ids of whole batches through a bounded cache of pieces."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        tokenizer = Tokenizer.from_file(path)
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        self.names = {k: v for k, v in tokenizer.get_vocab(with_added_tokens=True).items() if k not in special}
+        ranks = {bytes(byte_of[c] for c in name): k for name, k in self.names.items()}
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._forget()
 
     def _forget(self) -> None:
@@ -90,10 +98,10 @@ class PieceEncoder:
         if need > len(held):
             setattr(self, name, np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)]))
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+        lists = [*map(self.merge, pieces)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((x for one in lists for x in one), np.uint32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         have = len(self.slot)
         self._room("flat", self.used + len(ids))
         self._room("at", have + len(lists))
@@ -120,9 +128,9 @@ class PieceEncoder:
         keys = distinct.tolist()
         new = [k for k, h in enumerate(keys) if h not in self.slot]
         if new:
-            whole = points.tobytes()
-            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn([keys[k] for k in new], [whole[4 * x : 4 * y].decode("utf-32-le") for x, y in zip(a, b, strict=True)])
+            whole, places = data.tobytes(), np.append(np.flatnonzero(lead), len(data))
+            a, b = places[starts[first[new]]].tolist(), places[ends[first[new]]].tolist()
+            self._learn([keys[k] for k in new], [whole[x:y] for x, y in zip(a, b, strict=True)])
         slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[inverse]
         sizes = self.size[slots]
         after = np.cumsum(sizes)
@@ -138,9 +146,8 @@ class PieceEncoder:
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text behind each id: in this vocabulary every character of a token stands for one byte."""
         if not hasattr(self, "lengths"):
-            names = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.lengths = np.zeros(max(names.values()) + 1, np.int64)
-            for name, k in names.items():
+            self.lengths = np.zeros(max(self.names.values()) + 1, np.int64)
+            for name, k in self.names.items():
                 self.lengths[k] = len(name)
         return self.lengths
 
