@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.chat import digests, format_conversations
 from lakeloom.llm.jaccard_join import jaccard_components
+from lakeloom.llm.lattice import embedding_links
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.token_counts import section_token_counts
@@ -35,6 +36,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
