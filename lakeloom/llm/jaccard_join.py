@@ -34,8 +34,8 @@ from lakeloom.llm.graph import components
 from lakeloom.llm.scratch import Scratch
 
 SHARE = 0.2  # of the hash space: the columns that are counted
-BLOCK_ROWS = 512  # classes in one side of a block pair
-WHOLE_ROWS = 1024  # a block up to this size is not split
+PART_GRAMS = 1_000_000  # n-grams (8 MB) in one side of a block pair
+WHOLE_GRAMS = 2_000_000  # a block up to this size is not split
 SLICE_COLUMNS = 4096  # columns whose overlaps are accumulated at once
 SEEN = 200_000  # classes a task remembers, to send copies once
 BROADCAST_ROWS = 200_000  # candidate ids are broadcast up to this checked count
@@ -213,7 +213,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     ties = entries.join(columns, "g").where("not (c = lc and n = ln)").select("c", "n", "lc", "ln").distinct()
     named = ties.join(classes, ["c", "n"]).select("lc", "ln", F.col("id").alias("u")).join(classes.select(F.col("c").alias("lc"), F.col("n").alias("ln"), F.col("id").alias("v")), ["lc", "ln"]).select("u", "v")
     block_of = components(named, scratch, "blocks")
-    parts = block_of.groupBy("component").agg(F.count("*").alias("rows")).select("component", F.when(F.col("rows") <= WHOLE_ROWS, 1).otherwise(F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("parts"))
+    sizes = classes.groupBy(F.col("id").alias("u")).agg(F.max("n").alias("n"))
+    grams = block_of.join(sizes, "u").groupBy("component").agg(F.sum("n").alias("grams"))
+    parts = grams.select("component", F.when(F.col("grams") <= WHOLE_GRAMS, 1).otherwise(F.ceil(F.col("grams") / PART_GRAMS)).cast("int").alias("parts"))
     member = scratch.keep(block_of.join(parts, "component").select(F.col("u").alias("doc_id"), F.col("component").alias("block"), "parts"), "member")
     rows = member.count()
     small = F.broadcast(member) if rows <= BROADCAST_ROWS else member
