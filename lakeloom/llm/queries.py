@@ -14,6 +14,7 @@ from lakeloom.llm.lattice import embedding_links
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.token_counts import section_token_counts
+from lakeloom.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
+        "op7_toxicity": op7_toxicity,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
     }
