@@ -13,6 +13,7 @@ from lakeloom.llm.jaccard_join import jaccard_components
 from lakeloom.llm.lattice import embedding_links
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
+from lakeloom.llm.syncmers import fingerprint_report
 from lakeloom.llm.token_counts import section_token_counts
 from lakeloom.llm.toxicity import toxicity_scores
 
@@ -29,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_document_fingerprints": op3_document_fingerprints,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
