@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.chat import digests, format_conversations
 from lakeloom.llm.jaccard_join import jaccard_components
 from lakeloom.llm.lattice import embedding_links
+from lakeloom.llm.line_dedup import dedup_lines
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.syncmers import fingerprint_report
@@ -46,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
+        "op8_line_dedup": op8_line_dedup,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
     }
