@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm.chaining import repeated_passages
 from lakeloom.llm.chat import digests, format_conversations
 from lakeloom.llm.jaccard_join import jaccard_components
 from lakeloom.llm.lattice import embedding_links
@@ -35,6 +36,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_document_fingerprints": op3_document_fingerprints,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
