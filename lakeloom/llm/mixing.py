@@ -50,7 +50,27 @@ def document_hash(id_col: Column, seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs``; see ``mix_plan``."""
+    sized, plan = mix_plan(docs, share=share, most=most, weights=weights, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _taken_times(F.col("doc_id"), seed)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as many times as it is taken; see ``mix_plan``."""
+    _, plan = mix_plan(docs, share=share, most=most, weights=weights, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    plan = plan.select("s", "copies", "threshold").withColumnsRenamed({c: f"_mix_{c}" for c in ("s", "copies", "threshold")})
+    times = _taken_times(F.col(id_col).cast("long"), seed, "_mix_").cast("int")
+    joined = docs.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_mix_s")))
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), times))).select(*docs.columns)
+
+
+def _taken_times(doc_id: Column, seed: int, prefix: str = "") -> Column:
+    return F.col(f"{prefix}copies") + (document_hash(doc_id, seed) < F.col(f"{prefix}threshold")).cast("long")
+
+
+def mix_plan(docs: DataFrame, *, share: float, most: float, weights: tuple[float, ...], seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes, and per source (s): source_size, target, copies, threshold.
 
     ``size`` counts words (a null text has none). Sources in code point order, null last, weigh
     ``weights`` in turn and share ``share`` times the total size; no target is above ``most``
@@ -92,6 +112,4 @@ def mix_sources(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weigh
             elif level == LEVELS - 1:
                 b.open = False
     plan = spark.createDataFrame([(b.source, b.size, float(b.target), b.copies, b.prefix if not b.open else 0) for b in budgets], "s string, source_size long, target double, copies long, threshold long")
-    joined = hashed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("threshold")).cast("long"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return sized, plan

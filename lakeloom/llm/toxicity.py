@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.llm import textvec
 from lakeloom.llm.scratch import Scratch
@@ -265,30 +266,46 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def _features(model, known):
-    """(row's label or id, features) or, with ``known`` None, the edited words found with their label."""
+def _hits(words: Words, automaton: Automaton, spared: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    hits, kinds = automaton.run(words)
+    drop = [k for k in np.flatnonzero(kinds == FUZZY) if words.text(hits[k]) in spared]
+    return np.delete(hits, drop), np.delete(kinds, drop)
+
+
+def _measure(model):
+    """(label, features, edited words) of each labelled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, weights, spared = model.value
+        automaton, _, spared = model.value
         for batch in batches:
             data, offsets = textvec.string_buffers(batch.column(1))
-            scores, edited = [], []
+            x, terms = [], []
             for first, last in textvec.chunks(offsets):
                 words = letter_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                hits, kinds = automaton.run(words)
-                drop = [k for k in np.flatnonzero(kinds == FUZZY) if words.text(hits[k]) in spared]
-                hits, kinds = np.delete(hits, drop), np.delete(kinds, drop)
-                if known:
-                    edited += [(words.text(h), int(first + np.searchsorted(words.rows, h, "right") - 1)) for h in hits[kinds == FUZZY]]
-                scores.append(context_features(words, hits, kinds))
-            x = np.concatenate(scores) if scores else np.zeros((0, FEATURES))
-            if known:
-                terms = [[] for _ in range(len(x))]
-                for term, row in edited:
-                    terms[row].append(term)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([sorted(set(t)) for t in terms], pa.list_(pa.string()))], names=["toxic", "x", "edited"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))], names=["doc_id", "score"])
+                hits, kinds = _hits(words, automaton, spared)
+                x += context_features(words, hits, kinds).tolist()
+                own: list[set[str]] = [set() for _ in range(last - first)]
+                for h in hits[kinds == FUZZY]:
+                    own[int(np.searchsorted(words.rows, h, "right")) - 1].add(words.text(h))
+                terms += map(sorted, own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(terms, pa.list_(pa.string()))], names=["toxic", "x", "edited"])
+
+    return run
+
+
+def _score(model, text: int):
+    """The batch as it came, with each row's score as last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, weights, spared = model.value
+        for batch in batches:
+            data, offsets = textvec.string_buffers(batch.column(text))
+            scores = np.zeros(batch.num_rows)
+            for first, last in textvec.chunks(offsets):
+                words = letter_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                x = context_features(words, *_hits(words, automaton, spared))
+                scores[first:last] = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[f"c{k}" for k in range(batch.num_columns)] + ["score"])
 
     return run
 
@@ -298,13 +315,19 @@ def held_out(id_col: Column) -> Column:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, as ``scored_documents`` gives them."""
+    scored = scored_documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, fit_rows=fit_rows)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def scored_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, score_col: str = "toxicity") -> DataFrame:
+    """Every row of ``docs`` as it is, with ``score_col``.
 
     The lexicon and the regression are fitted on at most ``fit_rows`` labelled documents, the
     first by the hash of their id among those not held out; all documents are scored, over whole
     texts. Null texts are empty and get the constant's score. Null labels are left out. Without a
     usable label of either kind every score is the share of toxic labels (0 without any).
-    Repeated rows are scored each; extra columns are ignored; an empty table gives an empty result.
+    Repeated rows are scored each; extra columns stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -324,7 +347,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
         def measured() -> tuple[list, Counter, Counter]:
             model = spark.sparkContext.broadcast((automaton, weights, spared))
-            rows = sample.select("toxic", "text").mapInArrow(_features(model, True), "toxic int, x array<double>, edited array<string>").collect()
+            rows = sample.select("toxic", "text").mapInArrow(_measure(model), "toxic int, x array<double>, edited array<string>").collect()
             bad, good = (Counter(t for r in rows if r.toxic == k for t in r.edited) for k in (1, 0))
             return rows, bad, good
 
@@ -336,5 +359,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
         automaton = build_automaton([], [])
         weights[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
     model = spark.sparkContext.broadcast((automaton, weights, spared))
-    scored = texts.mapInArrow(_features(model, False), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    text = F.col(text_col).cast("string")
+    carried = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)), text.alias(f"c{len(docs.columns)}"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in carried.schema] + [T.StructField("score", T.DoubleType())])
+    scored = carried.mapInArrow(_score(model, len(docs.columns)), schema)
+    return scored.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)), F.col("score").alias(score_col))
