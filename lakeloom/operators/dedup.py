@@ -38,7 +38,7 @@ def dedup_report(hashes: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     row = per.agg(zero(F.sum(F.when(there, F.col("n")))).alias("files_hashed"), zero(F.sum(F.when(~there, F.col("n")))).alias("files_missing"), F.count_if(there).alias("unique_hashes"), F.count_if(many).alias("duplicate_groups"), zero(F.sum(F.when(many, F.col("n")))).alias("files_in_duplicate_groups"))
     redundant = F.col("files_hashed") - F.col("unique_hashes")
-    rate = F.when(F.col("files_hashed") > 0, F.bround((1 - F.col("unique_hashes") / F.col("files_hashed")) * 100, 4)).otherwise(0.0)
+    rate = F.when(F.col("files_hashed") > 0, F.bround((1 - F.try_divide("unique_hashes", "files_hashed")) * 100, 4)).otherwise(0.0)
     return row.withColumn("redundant_files", redundant).withColumn("duplicate_rate_pct", rate)
 
 

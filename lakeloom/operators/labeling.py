@@ -35,8 +35,8 @@ def labeled_manifest(df: DataFrame) -> DataFrame:
 
 
 def percent(part, total, digits: int = 2):
-    """Half-even, as the reports round."""
-    return F.bround(100.0 * part / total, digits)
+    """Half-even, as the reports round; null of nothing."""
+    return F.bround(F.try_divide(100.0 * part, total), digits)
 
 
 def verdict_distribution(df: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def candidate_pool(df: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     pool = vocab.dim_pool(df.sparkSession).join(counts, "status", "left").join(F.broadcast(total))
     n = F.coalesce("n", F.lit(0))
-    return pool.select("ord", "tier", F.col("status").alias("verdict"), "target_classes", n.alias("n"), percent(n, F.nullif(F.col("total"), F.lit(0))).alias("pct_of_all"))
+    return pool.select("ord", "tier", F.col("status").alias("verdict"), "target_classes", n.alias("n"), percent(n, F.col("total")).alias("pct_of_all"))
 
 
 def pool_totals(df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def pool_totals(df: DataFrame) -> DataFrame:
 def label_distribution(labeled: DataFrame) -> DataFrame:
     counts = labeled.groupBy("coarse_label").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("coarse_label", vocab.ordinal(F.col("coarse_label"), vocab.COARSE).alias("coarse_id"), "n", (F.col("n") / F.col("total")).alias("share"))
+    return counts.join(F.broadcast(total)).select("coarse_label", vocab.ordinal(F.col("coarse_label"), vocab.COARSE).alias("coarse_id"), "n", F.try_divide("n", "total").alias("share"))
 
 
 def language_status_matrix(df: DataFrame) -> DataFrame:

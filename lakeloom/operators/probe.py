@@ -64,7 +64,7 @@ def compile_probe(files: DataFrame, n: int = PILOT_ROWS, seed: int = SEED, timeo
     errors = files.where("coarse_label = 'COMPILE_ERROR'").select("submission_id", "problem_id", "content")
     if (have := errors.count()) < n:
         raise ValueError(f"only {have} compile errors; {n} are needed")
-    probed = exact_sample(errors, "submission_id", n, seed).repartition(64, "submission_id").mapInPandas(_compile(command, timeout), RESULT)
+    probed = exact_sample(errors, "submission_id", n, seed).repartition(32).mapInPandas(_compile(command, timeout), RESULT)
     failed = F.when(F.col("outcome") == "FAILED", classify_stderr(F.col("stderr")))
     return probed.select("submission_id", "problem_id", "outcome", failed.alias("classification"), F.right("stderr", F.lit(300)).alias("stderr_tail"))
 
@@ -72,4 +72,4 @@ def compile_probe(files: DataFrame, n: int = PILOT_ROWS, seed: int = SEED, timeo
 def probe_summary(report: DataFrame, sampled: int = PILOT_ROWS, reserve: int = RESERVE) -> DataFrame:
     """Failures, linker failures, their rates, and the projection on the reserve."""
     row = report.agg(F.count_if(F.col("outcome") == "FAILED").alias("failed"), F.count_if(F.col("classification") == "LINKER").alias("linker"))
-    return row.select("failed", "linker", percent(F.col("linker"), F.nullif(F.col("failed"), F.lit(0))).alias("pct_of_failed"), percent(F.col("linker"), F.lit(sampled)).alias("pct_of_sample"), F.floor(F.lit(reserve) * F.col("linker") / sampled).cast("long").alias("projected"))
+    return row.select("failed", "linker", percent(F.col("linker"), F.col("failed")).alias("pct_of_failed"), percent(F.col("linker"), F.lit(sampled)).alias("pct_of_sample"), F.floor(F.lit(reserve) * F.col("linker") / sampled).cast("long").alias("projected"))

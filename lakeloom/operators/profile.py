@@ -48,7 +48,7 @@ def concentration_share(df: DataFrame, group_col: str, tops: tuple[int, ...] = (
     total = levels.agg(F.sum(F.col("n") * F.col("groups")).alias("total"))
     wanted = df.sparkSession.createDataFrame([(k,) for k in tops], "k int")
     at = upto.join(F.broadcast(wanted), (F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("groups")))
-    share = (F.col("held") - (F.col("upto") - F.col("k")) * F.col("n")) / F.col("total")
+    share = F.try_divide(F.col("held") - (F.col("upto") - F.col("k")) * F.col("n"), F.col("total"))
     return at.join(F.broadcast(total)).select("k", F.round(share, 6).alias("share"))
 
 

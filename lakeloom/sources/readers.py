@@ -39,7 +39,7 @@ def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> D
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.cpp") -> DataFrame:
-    """(path relative to the folder, length, content) of all files below it."""
+    """(path relative to the folder, length, content) of all files below it; Spark's reader passes over empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     root = folder.removeprefix("file:").rstrip("/") + "/"
     bare = F.regexp_replace("path", r"^file:/+", "/")
