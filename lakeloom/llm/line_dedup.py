@@ -3,15 +3,16 @@
 A line is the set of its words. Two lines match when their Jaccard similarity is at least
 ``percent`` in 100; a line that matches an earlier one (by document id, then place) is removed.
 
-1. Lines with equal sets are one class, which stands at its first place.
-2. Words are ordered by rarity: their counts over all lines are kept in ``BUCKETS`` hash buckets,
-   a fixed size at any input, and the order is (count of the bucket, hash).
-3. Matching lines share a word among the first ``n - ceil(percent * n / 100) + 1`` of each
-   (prefix filter). Only prefix words that two or more classes hold go on.
-4. Pairs pass the length filter and the positional filter, and are verified on whole sets.
-   First each class meets the earliest holder of each of its prefix words; only classes that
-   match none of those meet the other earlier holders, so a large group of variants costs a
-   pair per member, not all pairs.
+1. Words are ordered by rarity: their counts over all documents are kept in ``BUCKETS`` hash
+   buckets, a fixed size at any input, and the order is (count of the bucket, hash).
+2. Lines with equal sets are one class, which stands at its first place.
+3. Matching lines share at least two of the first ``n - ceil(percent * n / 100) + 2`` words of
+   each (prefix filter). Only prefix words that two or more classes hold go on, and only classes
+   with two such words.
+4. Pairs that share two prefix words pass the length and the positional filter and are verified
+   on whole sets. First each class meets the earliest holder of each of its prefix words; only
+   classes that match none of those meet all earlier holders, so a large group of variants costs
+   a pair per member, not all pairs.
 """
 
 from __future__ import annotations
@@ -23,18 +24,23 @@ from lakeloom.llm.scratch import Scratch
 
 BUCKETS = 1 << 18
 LEAST_WORDS = 5
-HASH_BITS = 40
-BROADCAST_ROWS = 100_000
+HASH_BITS = 41
+SHARED = 2  # prefix words that a pair must share
+BROADCAST_ROWS = 200_000
 LAST = 2**63 - 1
 
 
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
 def line_words(line: Column) -> Column:
     """Distinct word hashes of a line."""
-    return F.array_distinct(F.transform(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
+    return n - F.ceil(n * percent / 100).cast("int") + SHARED
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,33 +52,35 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
     """(_id, _th, lines): for each document with removed lines, their numbers from 0."""
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col).select("_id", "_th", "_text")
-    lines = keyed.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line", "said"))
-    worded = lines.select("_id", "_th", "line", line_words(F.col("said")).alias("w")).where(F.size("w") >= least_words)
-    placed = scratch.keep(worded.select("_id", "_th", "line", F.size("w").alias("n"), F.xxhash64(F.sort_array("w")).alias("c")), "placed")
-    classes = scratch.keep(placed.groupBy("c", "n").agg(F.min(F.struct("_id", "_th", "line")).alias("first")), "classes")
-
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    counted = worded.select(F.explode("w").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("k"))
+    counted = keyed.select(F.explode(words(F.col("_text"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
     dense = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")).union(counted).groupBy("b").agg(F.sum("k").alias("k"))
-    counts = scratch.keep(dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.transform("all", lambda s: F.least(s["k"], F.lit((1 << 22) - 1))).alias("counts")), "counts")
+    counts = dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.transform("all", lambda s: F.least(s["k"], F.lit((1 << 22) - 1))).alias("counts"))
     # one row of BUCKETS counts: a constant of the plan, of fixed size
     of_bucket = F.split(F.lit(",".join(map(str, counts.first().counts))), ",").cast("array<bigint>")
 
-    def ranked(w: Column) -> Column:
-        """Words as longs whose order is by rarity."""
-        return F.sort_array(F.transform(w, lambda h: F.shiftleft(F.get(of_bucket, bucket(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+    def ranked(line: Column) -> Column:
+        """Distinct words as longs whose order is by rarity."""
+        mask = F.lit((1 << HASH_BITS) - 1)
+        return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.shiftleft(F.get(of_bucket, bucket(F.xxhash64(w))), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(mask)))))
 
+    lines = keyed.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line", "said"))
+    worded = lines.select("_id", "_th", "line", ranked(F.col("said")).alias("w")).where(F.size("w") >= least_words)
     n = F.size("w")
-    prefixed = worded.select(n.alias("n"), F.xxhash64(F.sort_array("w")).alias("c"), F.slice(ranked(F.col("w")), F.lit(1), prefix_size(n, percent)).alias("p"))
-    entries = prefixed.select("c", "n", F.posexplode("p").alias("pos", "t")).repartition("t").distinct()
+    placed = scratch.keep(worded.select("_id", "_th", "line", n.alias("n"), F.xxhash64("w").alias("c"), F.slice("w", F.lit(1), prefix_size(n, percent)).alias("p")), "placed")
+    classes = scratch.keep(placed.groupBy("c", "n").agg(F.min(F.struct("_id", "_th", "line")).alias("first"), F.first("p").alias("p")), "classes")
+
+    entries = classes.select("c", "n", F.posexplode("p").alias("pos", "t"))
     met = entries.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1").drop("df")
-    met = scratch.keep(met.join(classes, ["c", "n"]), "met")
+    met = met.withColumn("k", F.count("*").over(Window.partitionBy("c", "n"))).where(F.col("k") >= SHARED).drop("k")
+    met = scratch.keep(met.join(classes.select("c", "n", "first"), ["c", "n"]), "met")
 
     wanted = met.select("first").distinct().select("first.*").groupBy("_id", "_th").agg(F.collect_set("line").alias("numbers"))
     wanted = scratch.keep(wanted, "wanted")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    told = keyed.join(small, ["_id", "_th"]).select(F.explode(F.transform("numbers", lambda k: line_words(F.get(F.split("_text", "\n"), k)))).alias("w"))
-    sets = scratch.keep(told.select(F.xxhash64(F.sort_array("w")).alias("c"), F.size("w").alias("n"), "w").dropDuplicates(["c", "n"]), "sets")
+    told = keyed.join(small, ["_id", "_th"]).select("_id", "_th", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("line"), line_words(F.get(F.split("_text", "\n"), k)).alias("w")))).alias("l"))
+    told = told.select(F.struct("_id", "_th", "l.line").alias("first"), F.col("l.w").alias("w")).dropDuplicates(["first"])
+    sets = scratch.keep(met.select("first", "c", "n").distinct().join(told, "first").select("c", "n", "w"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(c, n) of the later classes of the pairs that match."""
@@ -82,18 +90,19 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
         return pairs.join(left, ["c", "n"]).join(right, ["ec", "en"]).where(100 * both >= percent * (F.col("n") + F.col("en") - both)).select("c", "n").distinct()
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filters, then each pair once."""
-        length = 100 * F.least("n", "en") >= percent * F.greatest("n", "en")
-        most = F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos"))
-        return pairs.where(length & ((100 + percent) * most >= percent * (F.col("n") + F.col("en")))).select("c", "n", "ec", "en").distinct()
+        """Pairs with enough prefix words in common that pass the length and positional filters, each once."""
+        near_size = 100 * F.least("n", "en") >= percent * F.greatest("n", "en")
+        each = pairs.where(near_size).groupBy("c", "n", "ec", "en").agg(F.count("*").alias("shared"), F.max("pos").alias("pos"), F.max("epos").alias("epos"))
+        most = F.col("shared") + F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos")) - 1
+        return each.where((F.col("shared") >= SHARED) & ((100 + percent) * most >= percent * (F.col("n") + F.col("en")))).select("c", "n", "ec", "en")
 
     head = met.groupBy("t").agg(F.min(F.struct("first", "c", "n", "pos")).alias("e"))
     head = head.select("t", F.col("e.first").alias("efirst"), F.col("e.c").alias("ec"), F.col("e.n").alias("en"), F.col("e.pos").alias("epos"))
     near = scratch.keep(verified(filtered(met.join(head, "t").where("first > efirst"))), "near")
+    # what matches none of those meets every earlier holder: here all shared prefix words are counted
     rest = met.join(near, ["c", "n"], "left_anti")
-    # what is left meets every earlier holder but the earliest
-    others = met.join(head.select("t", "efirst"), "t").where("first > efirst").select("t", F.col("first").alias("ofirst"), F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"))
-    far = verified(filtered(rest.join(others, "t").where("first > ofirst")))
+    holders = met.select("t", F.col("first").alias("efirst"), F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"))
+    far = verified(filtered(rest.join(holders, "t").where("first > efirst")))
     gone = near.union(far).distinct().withColumn("gone", F.lit(True))
     judged = classes.join(gone, ["c", "n"], "left")
     later = F.struct("_id", "_th", "line") > F.col("first")
