@@ -121,7 +121,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80, least_words: int = LEAST_
     scratch = Scratch(docs.sparkSession, "lines")
     lost = removed_lines(docs, scratch, percent=percent, least_words=least_words, id_col=id_col, text_col=text_col)
     lost = scratch.keep(lost.withColumnRenamed("lines", "_lost"), "lost")
-    scratch.drop("placed", "met", "sets", "wanted")
+    scratch.drop("placed", "classes", "met", "sets", "wanted", "near")
     small = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
     joined = _keyed(docs, id_col, text_col).join(small, ["_id", "_th"], "left")
     split = F.split(F.col("_text"), "\n")

@@ -358,6 +358,7 @@ def scored_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     else:
         automaton = build_automaton([], [])
         weights[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
+    scratch.drop("sample", "terms")
     model = spark.sparkContext.broadcast((automaton, weights, spared))
     text = F.col(text_col).cast("string")
     carried = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)), text.alias(f"c{len(docs.columns)}"))
