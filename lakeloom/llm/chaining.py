@@ -34,6 +34,7 @@ LEAST_WORDS = 50  # of a passage
 IDENTITY = 0.8  # share of aligned words that are equal
 REACH = 32  # words that the ends of a passage may go on without a better score
 MARGIN, STEP = 128, 64  # words around a chain that its alignment may use; windows begin at steps
+ALIGN_ROWS = 500  # chains that are held as Python values at once
 BROADCAST_ROWS = 200_000
 
 
@@ -209,7 +210,7 @@ def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int]) -> tuple[i
 
 def _aligned(least: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ALIGN_ROWS) for b in batches for k in range(0, b.num_rows, ALIGN_ROWS)):
             out = []
             for c in batch.to_pylist():
                 x, y = (np.frombuffer(c[n], np.uint64) for n in ("x", "y"))
@@ -241,9 +242,11 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     first = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     copies = scratch.keep(keys.join(first, ["h1", "h2"]).where("doc > first").select("doc", "first").distinct(), "copies")
 
-    seeds = rows.select("doc", "text").mapInArrow(_seeds, "seed long, doc long, at int").repartition("seed")
-    # the earliest document of each seed; seeds of one document alone meet nothing
-    # a copy's seeds meet its first document's like any other's, and are dropped before chaining
+    # computed for each of the two uses: partial aggregation makes a common seed small on one side,
+    # and the join may split its rows on the other
+    seeds = rows.select("doc", "text").mapInArrow(_seeds, "seed long, doc long, at int")
+    # the earliest document of each seed; seeds of one document alone meet nothing, and copies are
+    # represented by their first document
     source = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("seed", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
     matches = seeds.join(source, "seed").where("doc > e_doc").select("doc", "at", "e_doc", "e_at")
     matches = matches.join(copies.select("doc"), "doc", "left_anti")
