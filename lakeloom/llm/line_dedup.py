@@ -7,8 +7,7 @@ A line is the set of its words. Two lines match when their Jaccard similarity is
    buckets, a fixed size at any input, and the order is (count of the bucket, hash).
 2. Lines with equal sets are one class, which stands at its first place.
 3. Matching lines share at least two of the first ``n - ceil(percent * n / 100) + 2`` words of
-   each (prefix filter). Only prefix words that two or more classes hold go on, and only classes
-   with two such words.
+   each (prefix filter).
 4. Pairs that share two prefix words pass the length and the positional filter and are verified
    on whole sets. First each class meets the earliest holder of each of its prefix words; only
    classes that match none of those meet all earlier holders, so a large group of variants costs
@@ -70,39 +69,43 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
     placed = scratch.keep(worded.select("_id", "_th", "line", n.alias("n"), F.xxhash64("w").alias("c"), F.slice("w", F.lit(1), prefix_size(n, percent)).alias("p")), "placed")
     classes = scratch.keep(placed.groupBy("c", "n").agg(F.min(F.struct("_id", "_th", "line")).alias("first"), F.first("p").alias("p")), "classes")
 
-    entries = classes.select("c", "n", F.posexplode("p").alias("pos", "t"))
-    met = entries.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1").drop("df")
-    met = met.withColumn("k", F.count("*").over(Window.partitionBy("c", "n"))).where(F.col("k") >= SHARED).drop("k")
-    met = scratch.keep(met.join(classes.select("c", "n", "first"), ["c", "n"]), "met")
-
-    wanted = met.select("first").distinct().select("first.*").groupBy("_id", "_th").agg(F.collect_set("line").alias("numbers"))
-    wanted = scratch.keep(wanted, "wanted")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    told = keyed.join(small, ["_id", "_th"]).select("_id", "_th", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("line"), line_words(F.get(F.split("_text", "\n"), k)).alias("w")))).alias("l"))
-    told = told.select(F.struct("_id", "_th", "l.line").alias("first"), F.col("l.w").alias("w")).dropDuplicates(["first"])
-    sets = scratch.keep(met.select("first", "c", "n").distinct().join(told, "first").select("c", "n", "w"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(c, n) of the later classes of the pairs that match."""
-        left = sets.withColumnRenamed("w", "w1")
-        right = sets.select(F.col("c").alias("ec"), F.col("n").alias("en"), F.col("w").alias("w2"))
-        both = F.size(F.array_intersect("w1", "w2"))
-        return pairs.join(left, ["c", "n"]).join(right, ["ec", "en"]).where(100 * both >= percent * (F.col("n") + F.col("en") - both)).select("c", "n").distinct()
+    # every prefix word of a class, with the class's place; all rows of a word in one partition
+    entries = classes.select(F.posexplode("p").alias("pos", "t"), "c", "n", F.col("first._id").alias("id"), F.col("first.line").alias("line")).repartition("t")
+    place, eplace = F.struct("id", "line", "c"), F.struct("eid", "eline", "ec")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs with enough prefix words in common that pass the length and positional filters, each once."""
+        total = percent * (F.col("n") + F.col("en"))
         near_size = 100 * F.least("n", "en") >= percent * F.greatest("n", "en")
-        each = pairs.where(near_size).groupBy("c", "n", "ec", "en").agg(F.count("*").alias("shared"), F.max("pos").alias("pos"), F.max("epos").alias("epos"))
-        most = F.col("shared") + F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos")) - 1
-        return each.where((F.col("shared") >= SHARED) & ((100 + percent) * most >= percent * (F.col("n") + F.col("en")))).select("c", "n", "ec", "en")
-
-    head = met.groupBy("t").agg(F.min(F.struct("first", "c", "n", "pos")).alias("e"))
-    head = head.select("t", F.col("e.first").alias("efirst"), F.col("e.c").alias("ec"), F.col("e.n").alias("en"), F.col("e.pos").alias("epos"))
-    near = scratch.keep(verified(filtered(met.join(head, "t").where("first > efirst"))), "near")
+        ahead = F.least("pos", "epos") + F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos"))
+        each = pairs.where(near_size & ((100 + percent) * ahead >= total)).groupBy("c", "n", "ec", "en").agg(F.count("*").alias("shared"))
+        return each.where(F.col("shared") >= SHARED).select("c", "n", "ec", "en")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """(c, n) of the later classes of the pairs that match, by the whole sets of just these classes."""
+        pairs = scratch.keep(pairs, f"{name}-pairs")
+        named = pairs.select("c", "n").union(pairs.select("ec", "en")).distinct()
+        wanted = named.join(classes.select("c", "n", "first"), ["c", "n"]).groupBy("first._id", "first._th").agg(F.collect_set(F.struct("first.line", "c", "n")).alias("wanted"))
+        wanted = scratch.keep(wanted, f"{name}-wanted")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        told = keyed.join(small, ["_id", "_th"]).select(F.explode(F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), line_words(F.get(F.split("_text", "\n"), x["line"])).alias("w")))).alias("s"))
+        sets = scratch.keep(told.select("s.c", "s.n", "s.w").dropDuplicates(["c", "n"]), f"{name}-sets")
+        right = sets.select(F.col("c").alias("ec"), F.col("n").alias("en"), F.col("w").alias("w2"))
+        both = F.size(F.array_intersect("w", "w2"))
+        matched = pairs.join(sets, ["c", "n"]).join(right, ["ec", "en"]).where(100 * both >= percent * (F.col("n") + F.col("en") - both)).select("c", "n").distinct()
+        matched = scratch.keep(matched, name)
+        scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-sets")
+        return matched
+
+    own = Window.partitionBy("t")
+    head = F.min(F.struct("id", "line", "c", "n", "pos")).over(own)
+    led = entries.withColumn("e", head).select("c", "n", "pos", "id", "line", F.col("e.c").alias("ec"), F.col("e.n").alias("en"), F.col("e.pos").alias("epos"), F.col("e.id").alias("eid"), F.col("e.line").alias("eline"))
+    near = verified(filtered(led.where(place > eplace)), "near")
     # what matches none of those meets every earlier holder: here all shared prefix words are counted
-    rest = met.join(near, ["c", "n"], "left_anti")
-    holders = met.select("t", F.col("first").alias("efirst"), F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"))
-    far = verified(filtered(rest.join(holders, "t").where("first > efirst")))
+    known = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    rest = entries.join(known, ["c", "n"], "left_anti")
+    holders = entries.select("t", F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"), F.col("id").alias("eid"), F.col("line").alias("eline"))
+    far = verified(filtered(rest.join(holders, "t").where(place > eplace)), "far")
     gone = near.union(far).distinct().withColumn("gone", F.lit(True))
     judged = classes.join(gone, ["c", "n"], "left")
     later = F.struct("_id", "_th", "line") > F.col("first")
@@ -121,7 +124,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80, least_words: int = LEAST_
     scratch = Scratch(docs.sparkSession, "lines")
     lost = removed_lines(docs, scratch, percent=percent, least_words=least_words, id_col=id_col, text_col=text_col)
     lost = scratch.keep(lost.withColumnRenamed("lines", "_lost"), "lost")
-    scratch.drop("placed", "classes", "met", "sets", "wanted", "near")
+    scratch.drop("placed", "classes", "near", "far")
     small = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
     joined = _keyed(docs, id_col, text_col).join(small, ["_id", "_th"], "left")
     split = F.split(F.col("_text"), "\n")
