@@ -84,6 +84,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(c, n) of the later classes of the pairs that match, by the whole sets of just these classes."""
         pairs = scratch.keep(pairs, f"{name}-pairs")
+        scratch.release()
         named = pairs.select("c", "n").union(pairs.select("ec", "en")).distinct()
         wanted = named.join(classes.select("c", "n", "first"), ["c", "n"]).groupBy("first._id", "first._th").agg(F.collect_set(F.struct("first.line", "c", "n")).alias("wanted"))
         wanted = scratch.keep(wanted, f"{name}-wanted")
@@ -95,6 +96,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
         matched = pairs.join(sets, ["c", "n"]).join(right, ["ec", "en"]).where(100 * both >= percent * (F.col("n") + F.col("en") - both)).select("c", "n").distinct()
         matched = scratch.keep(matched, name)
         scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-sets")
+        scratch.release()
         return matched
 
     own = Window.partitionBy("t")
@@ -103,7 +105,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
     near = verified(filtered(led.where(place > eplace)), "near")
     # what matches none of those meets every earlier holder: here all shared prefix words are counted
     known = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-    rest = entries.join(known, ["c", "n"], "left_anti")
+    # (an outer join, as an anti join would move below the shuffle and make two of it)
+    rest = entries.join(known.withColumn("done", F.lit(True)), ["c", "n"], "left").where("done is null").drop("done")
     holders = entries.select("t", F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"), F.col("id").alias("eid"), F.col("line").alias("eline"))
     far = verified(filtered(rest.join(holders, "t").where(place > eplace)), "far")
     gone = near.union(far).distinct().withColumn("gone", F.lit(True))

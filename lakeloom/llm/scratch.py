@@ -36,3 +36,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self.fs.delete(self.fs_path(f"{self.root}/{name}"), True)
+
+    def release(self) -> None:
+        """Lets go of the shuffle files of finished jobs: Spark deletes them once the driver's JVM has collected garbage."""
+        self.spark._jvm.System.gc()
