@@ -6,8 +6,8 @@ Rows of the sparse matrix are documents, columns are distinct n-grams. Two docum
 1. Documents with equal sets are one class, so copies cost one matrix row.
 2. Columns are ordered by how many classes hold them. A linked pair must share a column among
    the first ``n - ceil(percent * n / 100) + 1`` of either set in that order (the size-derived
-   bound). To find those entries only the columns in the lowest ``SHARE`` of the hash space are
-   shuffled and counted, over all documents; they stand before all other columns, which only
+   bound). To find those entries only the columns in the lowest part of the hash space are
+   shuffled and counted, over all documents, twice as many as the prefix takes; they stand before all other columns, which only
    sets with too few low ones need. Entries that one class alone holds meet nothing and end here,
    and with them every document that has enough of them.
 3. Columns with two or more classes tie their classes to the least one of them; the connected
@@ -33,7 +33,7 @@ from lakeloom.llm import textvec
 from lakeloom.llm.graph import components
 from lakeloom.llm.scratch import Scratch
 
-SHARE = 0.2  # of the hash space: the columns that are counted
+COUNTED = 2  # times the prefix's share of a set: the share of the hash space whose columns are counted
 PART_GRAMS = 1_000_000  # n-grams (8 MB) in one side of a block pair
 WHOLE_GRAMS = 2_000_000  # a block up to this size is not split
 SLICE_COLUMNS = 4096  # columns whose overlaps are accumulated at once
@@ -72,9 +72,14 @@ def _survey(width: int, fold: bool):
     return run
 
 
+def low_bound(percent: int) -> int:
+    """Columns up to here are counted: so many that the rarest of a set's low ones make up its prefix."""
+    return int(min(0.49, COUNTED * (100 - percent) / 100) * 2**64)
+
+
 def _low_entries(width: int, fold: bool, percent: int):
     """(column, class, size) of each set's low columns, and of further ones where those are fewer than its prefix."""
-    low = np.uint64(int(SHARE * 2**64))
+    low = np.uint64(low_bound(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -202,8 +207,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     classes = scratch.keep(survey.where("n > 0 and doc_id is not null").groupBy("c", "n").agg(F.min("doc_id").alias("id")), "classes")
     low = docs.select("text").mapInArrow(_low_entries(width, fold, percent), "g long, c long, n int").repartition("g").distinct()
     held = low.withColumn("df", F.count("*").over(Window.partitionBy("g")))
-    # unsigned order of the column: low ones (never negative, as SHARE < 1/2) come before further ones
-    late = (F.col("g") < 0) | (F.col("g") > int(SHARE * 2**64))
+    # unsigned order of the column: low ones (never negative) come before further ones
+    late = (F.col("g") < 0) | (F.col("g") >= low_bound(percent))
     met = F.when(F.col("df") > 1, F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), F.col("g")))
     alone = F.count_if((F.col("df") == 1) & ~late)
     per_class = held.groupBy("c", "n").agg(alone.alias("alone"), F.sort_array(F.collect_list(met)).alias("met"))
