@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.scratch import Scratch
 
 BUCKETS = 1 << 18
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 HASH_BITS = 41
 SHARED = 2  # prefix words that a pair must share
 BROADCAST_ROWS = 200_000
@@ -69,8 +69,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
     placed = scratch.keep(worded.select("_id", "_th", "line", n.alias("n"), F.xxhash64("w").alias("c"), F.slice("w", F.lit(1), prefix_size(n, percent)).alias("p")), "placed")
     classes = scratch.keep(placed.groupBy("c", "n").agg(F.min(F.struct("_id", "_th", "line")).alias("first"), F.first("p").alias("p")), "classes")
 
-    # every prefix word of a class, with the class's place; all rows of a word in one partition
-    entries = classes.select(F.posexplode("p").alias("pos", "t"), "c", "n", F.col("first._id").alias("id"), F.col("first.line").alias("line")).repartition("t")
+    # every prefix word of a class, with the class's place; all rows of a word in one partition. A set
+    # of n words is nearest to one of n + 1 that holds it: if n / (n + 1) is too little, it matches
+    # equal sets only, which are its class already
+    entries = classes.where((100 - percent) * F.col("n") >= percent).select(F.posexplode("p").alias("pos", "t"), "c", "n", F.col("first._id").alias("id"), F.col("first.line").alias("line")).repartition("t")
     place, eplace = F.struct("id", "line", "c"), F.struct("eid", "eline", "ec")
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -119,8 +121,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least
 def dedup_lines(docs: DataFrame, *, percent: int = 80, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed lines taken out of the text, and the columns n_lines, removed_lines (line numbers from 0).
 
-    Lines are cut at line feeds; those of fewer than ``least_words`` distinct words are kept and
-    match nothing. Null texts stay null with no line. Null ids come last. Rows that share id and
+    Lines are cut at line feeds; those of fewer than ``least_words`` distinct words (by default
+    those without words) are kept and match nothing. Null texts stay null with no line. Null ids come last. Rows that share id and
     text are one document to the order: they keep the same lines. Extra columns stay as they are;
     an empty table gives an empty result.
     """
