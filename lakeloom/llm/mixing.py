@@ -109,6 +109,8 @@ def mix_plan(docs: DataFrame, *, share: float, most: float, weights: tuple[float
             b.prefix = r.bucket
             if r.least == r.greatest:  # a single hash is left
                 b.prefix, b.open = r.least + (1 if r["size"] - b.need < b.need else 0), False
+            elif b.need == 0:  # the budget ends where the bucket starts
+                b.prefix, b.open = r.bucket << low, False
             elif level == LEVELS - 1:
                 b.open = False
     plan = spark.createDataFrame([(b.source, b.size, float(b.target), b.copies, b.prefix if not b.open else 0) for b in budgets], "s string, source_size long, target double, copies long, threshold long")
