@@ -174,7 +174,7 @@ def encoding_survey(spark, sf_dir):
 
 def compile_probe(spark, sf_dir):
     n = corpus(spark, sf_dir).where("coarse_label = 'COMPILE_ERROR'").count()
-    return probe.compile_probe(corpus(spark, sf_dir), min(n, 24))
+    return probe.compile_probe(corpus(spark, sf_dir), min(n, probe.PILOT_ROWS))
 
 
 def predict_distribution(spark, sf_dir):
