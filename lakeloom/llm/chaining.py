@@ -10,6 +10,9 @@
    positions in the earlier document.
 4. Chains are aligned: each gap between anchors, and the ends, are aligned word by word in a
    band, and the passage kept if it is long and alike enough.
+5. Seeds of one passage may have different earliest documents, each with a part that is too short.
+   So every run of as many words as a passage has at least, whose seeds are all shared and which
+   no passage covers yet, meets the earliest document that holds that whole run.
 
 The result names passages of the later document and where they stand in the earlier one.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import textvec
@@ -36,6 +39,7 @@ REACH = 32  # words that the ends of a passage may go on without a better score
 MARGIN, STEP = 128, 64  # words around a chain that its alignment may use; windows begin at steps
 ALIGN_ROWS = 500  # chains that are held as Python values at once
 BROADCAST_ROWS = 200_000
+OWN_ROWS = 20_000  # the same for rows with a list of shared seeds
 
 
 def minimizers(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,15 +201,64 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc", "w0", "w1", "hashes"])
 
 
-def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
-    """The span around a chain's anchors in both stretches, and its equal words."""
+def _runs(least: int):
+    """(run, doc, at, open) of the runs of ``least`` words whose seeds are all shared; open: in no passage."""
+    inner = max(0, least - (K + WINDOW - 1) + 1)  # windows of seeds within a run
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, shared, spans = batch.column(0), batch.column(2), batch.column(3)
+            data, offsets = textvec.string_buffers(batch.column(1))
+            for first, last in textvec.chunks(offsets):
+                part = data[offsets[first] : offsets[last]]
+                starts, ends, rows = textvec.words(part, offsets[first : last + 1] - offsets[first])
+                hashes = textvec.word_hashes(part, starts, ends, fold=True)
+                seeds = textvec.shingle_hashes(hashes, K)
+                out = [(np.zeros(0, np.int64),) * 4]
+                for d in range(first, last):
+                    a, n = rows[d - first], rows[d - first + 1] - rows[d - first] - least + 1
+                    if n < 1:
+                        continue
+                    fine = np.ones(n, bool)
+                    if inner:
+                        known = np.zeros(n + least, bool)
+                        at = shared[d].values.to_numpy()
+                        known[at[at < len(known)]] = True
+                        windows = np.lib.stride_tricks.sliding_window_view(seeds[a : a + n + least - K], WINDOW)
+                        lacks = np.zeros(len(windows) + 1, np.int64)
+                        np.cumsum(~known[np.arange(len(windows)) + windows.argmin(1)], out=lacks[1:])
+                        fine = lacks[inner : inner + n] == lacks[:n]
+                    place = np.flatnonzero(fine)
+                    if not len(place):
+                        continue
+                    found = np.zeros(n, bool)
+                    for s in spans[d].as_py() or ():
+                        found[s["a"] : max(s["a"], s["b"] - least + 1)] = True
+                    runs = textvec.range_hashes(hashes[a : a + n + least - 1], place, place + least)
+                    out.append((runs.view(np.int64), np.full(len(place), d), place, ~found[place]))
+                run, own, place, free = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(run), ids.take(pa.array(own)), pa.array(place.astype(np.int32)), pa.array(free.astype(bool))], names=["run", "doc", "at", "open"])
+
+    return run
+
+
+def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], identity: float = 0.0) -> tuple[int, int, int, int, int]:
+    """The span around a chain's anchors in both stretches, and its equal words.
+
+    Ends that would make it less alike than ``identity`` are left off.
+    """
     same = K
     for a1, b1, a2, b2 in zip(a, b, a[1:], b[1:], strict=False):
         straight = a2 - a1 == b2 - b1 and a2 - a1 <= K
         same += a2 - a1 if straight else align(x[a1 + K : a2 + K], y[b1 + K : b2 + K])
     front = extend(x[: a[0]][::-1], y[: b[0]][::-1])
     back = extend(x[a[-1] + K :], y[b[-1] + K :])
-    return a[0] - front[0], a[-1] + K + back[0], b[0] - front[1], b[-1] + K + back[1], same + front[2] + back[2]
+    none = (0, 0, 0)
+    for f, g in sorted(((front, back), (front, none), (none, back), (none, none)), key=lambda e: -e[0][0] - e[1][0]):
+        span = a[0] - f[0], a[-1] + K + g[0], b[0] - f[1], b[-1] + K + g[1], same + f[2] + g[2]
+        if span[4] >= identity * max(span[1] - span[0], span[3] - span[2]):
+            break
+    return span
 
 
 def _aligned(least: int, identity: float):
@@ -214,7 +267,7 @@ def _aligned(least: int, identity: float):
             out = []
             for c in batch.to_pylist():
                 x, y = (np.frombuffer(c[n], np.uint64) for n in ("x", "y"))
-                a0, a1, b0, b1, same = passage(x, y, [p - c["aw0"] for p in c["a_at"]], [p - c["bw0"] for p in c["b_at"]])
+                a0, a1, b0, b1, same = passage(x, y, [p - c["aw0"] for p in c["a_at"]], [p - c["bw0"] for p in c["b_at"]], identity)
                 words = max(a1 - a0, b1 - b0)
                 if min(a1 - a0, b1 - b0) >= least and same >= identity * words:
                     out.append((c["doc"], a0 + c["aw0"], a1 + c["aw0"], c["e_doc"], b0 + c["bw0"], b1 + c["bw0"], same / words))
@@ -248,24 +301,48 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     # the earliest document of each seed; seeds of one document alone meet nothing, and copies are
     # represented by their first document
     source = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("seed", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
-    matches = seeds.join(source, "seed").where("doc > e_doc").select("doc", "at", "e_doc", "e_at")
-    matches = matches.join(copies.select("doc"), "doc", "left_anti")
-    chains = matches.groupBy("doc", "e_doc").applyInArrow(_chains, "doc long, e_doc long, a0 int, a1 int, b0 int, b1 int, a_at array<int>, b_at array<int>")
+    shared = seeds.join(source, "seed").select("doc", "at", "e_doc", "e_at")
+    shared = scratch.keep(shared.join(copies.select("doc"), "doc", "left_anti"), "shared")
+    found = shared.where("doc > e_doc").groupBy("doc", "e_doc").applyInArrow(_chains, "doc long, e_doc long, a0 int, a1 int, b0 int, b1 int, a_at array<int>, b_at array<int>")
 
     def window(low: str, high: str) -> tuple[Column, Column]:
         """Words around a chain, in steps of ``STEP`` so that chains at one passage share a window."""
         return (F.floor(F.greatest(F.col(low) - MARGIN, F.lit(0)) / STEP) * STEP).cast("int"), (F.ceil((F.col(high) + MARGIN) / STEP) * STEP).cast("int")
 
-    (a0, a1), (b0, b1) = window("a0", "a1"), window("b0", "b1")
-    chains = scratch.keep(chains.select("doc", "e_doc", "a_at", "b_at", a0.alias("aw0"), a1.alias("aw1"), b0.alias("bw0"), b1.alias("bw1")), "chains")
-    windows = chains.select("doc", F.struct(F.col("aw0").alias("w0"), F.col("aw1").alias("w1")).alias("w")).union(chains.select("e_doc", F.struct(F.col("bw0").alias("w0"), F.col("bw1").alias("w1")))).distinct()
-    wanted = scratch.keep(windows.groupBy("doc").agg(F.collect_list("w").alias("wanted")), "wanted")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    slices = scratch.keep(rows.join(small, "doc").select("doc", "text", "wanted").mapInArrow(_slices, "doc long, w0 int, w1 int, hashes binary"), "slices")
-    left = slices.select("doc", F.col("w0").alias("aw0"), F.col("w1").alias("aw1"), F.col("hashes").alias("x"))
-    right = slices.select(F.col("doc").alias("e_doc"), F.col("w0").alias("bw0"), F.col("w1").alias("bw1"), F.col("hashes").alias("y"))
-    both = chains.join(left, ["doc", "aw0", "aw1"]).join(right, ["e_doc", "bw0", "bw1"]).select("doc", "e_doc", "a_at", "b_at", "aw0", "bw0", "x", "y")
-    passages = both.mapInArrow(_aligned(least_words, identity), "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, identity double").distinct()
+    def aligned(chains: DataFrame, name: str) -> DataFrame:
+        (a0, a1), (b0, b1) = window("a0", "a1"), window("b0", "b1")
+        chains = scratch.keep(chains.select("doc", "e_doc", "a_at", "b_at", a0.alias("aw0"), a1.alias("aw1"), b0.alias("bw0"), b1.alias("bw1")), f"{name}-chains")
+        windows = chains.select("doc", F.struct(F.col("aw0").alias("w0"), F.col("aw1").alias("w1")).alias("w")).union(chains.select("e_doc", F.struct(F.col("bw0").alias("w0"), F.col("bw1").alias("w1")))).distinct()
+        wanted = scratch.keep(windows.groupBy("doc").agg(F.collect_list("w").alias("wanted")), f"{name}-wanted")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        slices = scratch.keep(rows.join(small, "doc").select("doc", "text", "wanted").mapInArrow(_slices, "doc long, w0 int, w1 int, hashes binary"), f"{name}-slices")
+        left = slices.select("doc", F.col("w0").alias("aw0"), F.col("w1").alias("aw1"), F.col("hashes").alias("x"))
+        right = slices.select(F.col("doc").alias("e_doc"), F.col("w0").alias("bw0"), F.col("w1").alias("bw1"), F.col("hashes").alias("y"))
+        both = chains.join(left, ["doc", "aw0", "aw1"]).join(right, ["e_doc", "bw0", "bw1"]).select("doc", "e_doc", "a_at", "b_at", "aw0", "bw0", "x", "y")
+        passages = both.mapInArrow(_aligned(least_words, identity), "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, identity double").distinct()
+        passages = scratch.keep(passages, f"{name}-passages")
+        scratch.drop(*(f"{name}-{t}" for t in ("chains", "wanted", "slices")))
+        scratch.release()
+        return passages
+
+    passages = aligned(found, "first")
+    own = shared.groupBy("doc").agg(F.collect_list("at").alias("shared")).where(F.size("shared") >= (least_words - K + 1) // WINDOW)
+    spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("spans"))
+    own = scratch.keep(own.join(spans, F.col("doc") == F.col("doc_id"), "left").select("doc", "shared", "spans"), "own")
+    scratch.drop("shared")
+    scratch.release()
+    small = F.broadcast(own) if own.count() <= OWN_ROWS else own
+    runs = scratch.keep(rows.join(small, "doc").select("doc", "text", "shared", "spans").mapInArrow(_runs(least_words), "run long, doc long, at int, open boolean"), "runs")
+    holder = runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("run", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
+    met = runs.where("open").join(holder, "run").where("doc > e_doc").select("doc", "e_doc", "at", (F.col("at") - F.col("e_at")).alias("off"))
+    # runs that follow each other word by word on one diagonal are one chain
+    place = F.row_number().over(Window.partitionBy("doc", "e_doc", "off").orderBy("at"))
+    met = met.distinct().withColumn("island", F.col("at") - place).groupBy("doc", "e_doc", "off", "island").agg(F.min("at").alias("a0"), (F.max("at") + least_words).alias("a1"))
+    b0, b1, tail = F.col("a0") - F.col("off"), F.col("a1") - F.col("off"), F.col("a1") - K
+    steps = F.array_distinct(F.concat(F.sequence(F.col("a0"), F.greatest("a0", tail), F.lit(K)), F.array(F.greatest("a0", tail))))
+    more = met.select("doc", "e_doc", "a0", "a1", b0.alias("b0"), b1.alias("b1"), steps.alias("a_at"), F.transform(steps, lambda p: p - F.col("off")).alias("b_at"))
+    passages = passages.union(aligned(more, "more")).distinct()
+    scratch.drop("own", "runs")
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     whole = copies.join(rows.select(F.col("doc"), words.alias("n")), "doc").where(F.col("n") >= least_words)
     zero = F.lit(0).cast("long")
