@@ -60,15 +60,15 @@ def _counter(path: str, rule: str):
                 cuts = cuts[cuts > 0]
                 sections = np.bincount(allocate(np.cumsum(lengths), cuts, rule), minlength=len(cuts)) if len(ids) else np.zeros(0, np.int64)
                 points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                starts = np.concatenate([[0], cuts[:-1]]).astype(np.int64)
+                starts = np.concatenate([[0], cuts])[:-1].astype(np.int64)  # none where the chunk has no text
                 own = np.searchsorted(at_byte, starts, "right") - 1
                 empty = np.flatnonzero(np.diff(at_byte) == 0)
                 row = np.concatenate([own, empty])
                 order = np.argsort(row, kind="stable")
                 row = row[order]
                 pad = np.zeros(len(empty), np.int64)
-                begin = np.concatenate([points[starts] - points[at_byte[own]], pad])[order] if len(cuts) else pad
-                end = np.concatenate([points[cuts] - points[at_byte[own]], pad])[order] if len(cuts) else pad
+                begin = np.concatenate([points[starts] - points[at_byte[own]], pad])[order]
+                end = np.concatenate([points[cuts] - points[at_byte[own]], pad])[order]
                 tokens = np.concatenate([sections, pad])[order]
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 total = np.diff(at)[row]
@@ -79,7 +79,7 @@ def _counter(path: str, rule: str):
                         names=["doc_id", "section", "char_start", "char_end", "n_tokens", "document_tokens"],
                     )
 
-    return run
+    return textvec.frugal(run)
 
 
 def section_token_counts(docs: DataFrame, path: str, *, rule: str = "majority", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
