@@ -2,9 +2,10 @@
 
 Documents become token pieces of at most ``capacity``; each partition of pieces is packed by
 best-fit decreasing, and dual-feasible functions give a lower bound that certifies its number
-of bins. While the partitions together use more bins than the bound of the whole table, the
-bins that still have room are opened: their pieces are exchanged between partitions and packed
-again, and the new bins are taken if they are fewer.
+of bins. While the partitions together use more bins than the bound of the whole table, bins are
+opened and their pieces exchanged: a partition with a gap gives its emptiest bins, up to half of
+its pieces, a certified one only its emptiest bin. They are dealt to half as many partitions and
+packed again, and the new bins are taken if they are fewer. The last round is one partition.
 
 Best fit runs on (size, count) groups, bin by bin exact, so a partition's work follows the
 number of distinct sizes. A partition holds about ``PART_PIECES`` pieces at any input size.
@@ -24,8 +25,8 @@ from lakeloom.llm import bpe, textvec
 from lakeloom.llm.scratch import Scratch
 
 PART_PIECES = 50_000
-ROUNDS = 3
 STEPS = 24  # staircase functions tried for a bound
+NEVER = 2**62
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,7 +54,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return textvec.frugal(run)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,13 +128,22 @@ def bin_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
 
 
 def _packer(capacity: int, base: int):
+    """Packs a partition. ``give``: how many pieces it gives if it gives all bins up to this one, the emptiest first."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        bound = bin_bound(*np.unique(lengths, return_counts=True), capacity)
-        part = key[0].as_py()
-        return table.drop_columns(["part"]).append_column("sequence_id", pa.array((base + part << 32) + bins)).append_column("offset", pa.array(offsets)).append_column("fill", pa.array(fill[bins])).append_column("part_bins", pa.array(np.full(len(bins), len(fill)))).append_column("part_bound", pa.array(np.full(len(bins), bound)))
+        certified = len(fill) == bin_bound(*np.unique(lengths, return_counts=True), capacity)
+        emptiest = np.argsort(fill, kind="stable")
+        give = np.zeros(len(fill), np.int64)
+        give[emptiest] = np.cumsum(np.bincount(bins)[emptiest])
+        give[emptiest[1:] if certified else fill == capacity] = NEVER
+        out = {"sequence_id": (base + key[0].as_py() << 32) + bins, "offset": offsets, "give": give[bins]}
+        table = table.drop_columns(["part"])
+        for name, column in out.items():
+            table = table.append_column(name, pa.array(column))
+        return table
 
     return run
 
@@ -146,40 +156,32 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataFrame
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kept = scratch.keep(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    whole = kept.where(F.col("length") == capacity).select(*columns, (F.col("uid") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = kept.where(F.col("length") == capacity).select(*columns, (F.col("uid") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pool = kept.where(F.col("length") < capacity)
     # one row per size: at most `capacity` rows
-    histogram = kept.where(F.col("length") < capacity).groupBy("length").count().toPandas()
+    histogram = pool.groupBy("length").count().toPandas()
     bound = bin_bound(histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), capacity)
-    pool, rows = kept.where(F.col("length") < capacity), int(histogram["count"].sum())
-    settled: list[DataFrame] = []
-    done_bins = 0
-    before: tuple[DataFrame, int] | None = None
-    for round_ in range(ROUNDS + 1):
-        parts = max(1, -(-rows // PART_PIECES))
+    parts = max(1, -(-int(histogram["count"].sum()) // PART_PIECES))
+    schema = PIECES + ", uid long, sequence_id long, offset long, give long"
+    bins_of = lambda df: df.agg(F.count_distinct("sequence_id")).first()[0]
+    settled_bins, now, now_bins, now_parts, round_ = 0, None, 0, parts, 0
+    while True:
         dealt = pool.select(*columns, "uid", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).alias("part"))
-        schema = PIECES + ", uid long, sequence_id long, offset long, fill long, part_bins long, part_bound long"
         packed = scratch.keep(dealt.groupBy("part").applyInArrow(_packer(capacity, round_ << 24), schema), f"round{round_}")
-        bins = int(packed.select("sequence_id").distinct().count())
-        if before is not None and bins >= before[1]:  # the exchange has brought nothing
-            settled.append(before[0])
-            done_bins += before[1]
-            break
-        # bins with room, of partitions whose count the bound does not certify once bins are shared
-        loose = packed.where(F.col("fill") < capacity)
-        if round_ == ROUNDS or done_bins + bins <= bound or parts == 1:
-            settled.append(packed)
+        bins = bins_of(packed)
+        if now is None or bins < now_bins:  # otherwise the exchange has brought nothing, and the bins stay as they were
+            now, now_bins, now_parts = packed, bins, parts
+        if parts == 1 or settled_bins + now_bins <= bound:
             break
-        full = packed.where(F.col("fill") == capacity)
-        full_bins = int(full.select("sequence_id").distinct().count())
-        settled.append(full)
-        done_bins += full_bins
-        before, pool, rows = (loose, bins - full_bins), loose, loose.count()
-        if not rows:
+        parts //= 2
+        given = F.col("give") <= max(1, PART_PIECES * parts // now_parts)
+        pool = now.where(given)
+        closed, opened_bins = now.where(~given), bins_of(pool)
+        if not opened_bins:
             break
-    out = whole
-    for part in settled:
-        out = out.unionByName(part.select(*columns, "sequence_id", "offset"))
-    return out
+        out = out.unionByName(closed.select(*columns, "sequence_id", "offset"))
+        settled_bins, now, now_bins, round_ = settled_bins + now_bins - opened_bins, pool, opened_bins, round_ + 1
+    return out.unionByName(now.select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
