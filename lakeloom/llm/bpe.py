@@ -17,7 +17,7 @@ import numpy as np
 
 from lakeloom.llm import textvec
 
-CACHE_PIECES = 700_000  # distinct pieces a worker remembers before it starts anew
+CACHE_PIECES = 200_000  # distinct pieces a worker remembers, some 30 MB, before it starts anew
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _tables: list[np.ndarray] = []
@@ -87,6 +87,7 @@ class PieceEncoder:
         ranks = {bytes(byte_of[c] for c in name): k for name, k in self.names.items()}
         self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._forget()
+        textvec.forgets(self._forget)
 
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}

@@ -38,8 +38,6 @@ IDENTITY = 0.8  # share of aligned words that are equal
 REACH = 32  # words that the ends of a passage may go on without a better score
 MARGIN, STEP = 128, 64  # words around a chain that its alignment may use; windows begin at steps
 ALIGN_ROWS = 500  # chains that are held as Python values at once
-BROADCAST_ROWS = 200_000
-OWN_ROWS = 20_000  # the same for rows with a list of shared seeds
 
 
 def minimizers(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +295,7 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
 
     # computed for each of the two uses: partial aggregation makes a common seed small on one side,
     # and the join may split its rows on the other
-    seeds = rows.select("doc", "text").mapInArrow(_seeds, "seed long, doc long, at int")
+    seeds = rows.select("doc", "text").mapInArrow(textvec.frugal(_seeds), "seed long, doc long, at int")
     # the earliest document of each seed; seeds of one document alone meet nothing, and copies are
     # represented by their first document
     source = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("seed", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
@@ -314,15 +312,14 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
         chains = scratch.keep(chains.select("doc", "e_doc", "a_at", "b_at", a0.alias("aw0"), a1.alias("aw1"), b0.alias("bw0"), b1.alias("bw1")), f"{name}-chains")
         windows = chains.select("doc", F.struct(F.col("aw0").alias("w0"), F.col("aw1").alias("w1")).alias("w")).union(chains.select("e_doc", F.struct(F.col("bw0").alias("w0"), F.col("bw1").alias("w1")))).distinct()
         wanted = scratch.keep(windows.groupBy("doc").agg(F.collect_list("w").alias("wanted")), f"{name}-wanted")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        slices = scratch.keep(rows.join(small, "doc").select("doc", "text", "wanted").mapInArrow(_slices, "doc long, w0 int, w1 int, hashes binary"), f"{name}-slices")
+        small = scratch.small(wanted, f"{name}-wanted")
+        slices = scratch.keep(rows.join(small, "doc").select("doc", "text", "wanted").mapInArrow(textvec.frugal(_slices), "doc long, w0 int, w1 int, hashes binary"), f"{name}-slices")
         left = slices.select("doc", F.col("w0").alias("aw0"), F.col("w1").alias("aw1"), F.col("hashes").alias("x"))
         right = slices.select(F.col("doc").alias("e_doc"), F.col("w0").alias("bw0"), F.col("w1").alias("bw1"), F.col("hashes").alias("y"))
         both = chains.join(left, ["doc", "aw0", "aw1"]).join(right, ["e_doc", "bw0", "bw1"]).select("doc", "e_doc", "a_at", "b_at", "aw0", "bw0", "x", "y")
-        passages = both.mapInArrow(_aligned(least_words, identity), "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, identity double").distinct()
+        passages = both.mapInArrow(textvec.frugal(_aligned(least_words, identity)), "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, identity double").distinct()
         passages = scratch.keep(passages, f"{name}-passages")
         scratch.drop(*(f"{name}-{t}" for t in ("chains", "wanted", "slices")))
-        scratch.release()
         return passages
 
     passages = aligned(found, "first")
@@ -330,9 +327,8 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("spans"))
     own = scratch.keep(own.join(spans, F.col("doc") == F.col("doc_id"), "left").select("doc", "shared", "spans"), "own")
     scratch.drop("shared")
-    scratch.release()
-    small = F.broadcast(own) if own.count() <= OWN_ROWS else own
-    runs = scratch.keep(rows.join(small, "doc").select("doc", "text", "shared", "spans").mapInArrow(_runs(least_words), "run long, doc long, at int, open boolean"), "runs")
+    small = scratch.small(own, "own")
+    runs = scratch.keep(rows.join(small, "doc").select("doc", "text", "shared", "spans").mapInArrow(textvec.frugal(_runs(least_words)), "run long, doc long, at int, open boolean"), "runs")
     holder = runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("run", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
     met = runs.where("open").join(holder, "run").where("doc > e_doc").select("doc", "e_doc", "at", (F.col("at") - F.col("e_at")).alias("off"))
     # runs that follow each other word by word on one diagonal are one chain

@@ -38,7 +38,6 @@ PART_GRAMS = 1_000_000  # n-grams (8 MB) in one side of a block pair
 WHOLE_GRAMS = 2_000_000  # a block up to this size is not split
 SLICE_COLUMNS = 4096  # columns whose overlaps are accumulated at once
 SEEN = 200_000  # classes a task remembers, to send copies once
-BROADCAST_ROWS = 200_000  # candidate ids are broadcast up to this checked count
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -203,9 +202,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = scratch.keep(docs.mapInArrow(_survey(width, fold), "doc_id long, n int, c long"), "survey")
+    survey = scratch.keep(docs.mapInArrow(textvec.frugal(_survey(width, fold)), "doc_id long, n int, c long"), "survey")
     classes = scratch.keep(survey.where("n > 0 and doc_id is not null").groupBy("c", "n").agg(F.min("doc_id").alias("id")), "classes")
-    low = docs.select("text").mapInArrow(_low_entries(width, fold, percent), "g long, c long, n int").repartition("g").distinct()
+    low = docs.select("text").mapInArrow(textvec.frugal(_low_entries(width, fold, percent)), "g long, c long, n int").repartition("g").distinct()
     held = low.withColumn("df", F.count("*").over(Window.partitionBy("g")))
     # unsigned order of the column: low ones (never negative) come before further ones
     late = (F.col("g") < 0) | (F.col("g") >= low_bound(percent))
@@ -222,10 +221,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, fo
     grams = block_of.join(sizes, "u").groupBy("component").agg(F.sum("n").alias("grams"))
     parts = grams.select("component", F.when(F.col("grams") <= WHOLE_GRAMS, 1).otherwise(F.ceil(F.col("grams") / PART_GRAMS)).cast("int").alias("parts"))
     member = scratch.keep(block_of.join(parts, "component").select(F.col("u").alias("doc_id"), F.col("component").alias("block"), "parts"), "member")
-    rows = member.count()
-    small = F.broadcast(member) if rows <= BROADCAST_ROWS else member
-    chosen = docs.join(small, "doc_id").select("text", "block", F.col("doc_id").alias("id"), "parts")
-    sets = chosen.mapInArrow(_sets(width, fold), "grams binary, block long, id long, parts int")
+    chosen = docs.join(scratch.small(member, "member"), "doc_id").select("text", "block", F.col("doc_id").alias("id"), "parts")
+    sets = chosen.mapInArrow(textvec.frugal(_sets(width, fold)), "grams binary, block long, id long, parts int")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sets.withColumn("part", own).withColumn("other", other).select("grams", "id", "part", "block", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))

@@ -3,137 +3,202 @@
 A line is the set of its words. Two lines match when their Jaccard similarity is at least
 ``percent`` in 100; a line that matches an earlier one (by document id, then place) is removed.
 
-1. Words are ordered by rarity: their counts over all documents are kept in ``BUCKETS`` hash
-   buckets, a fixed size at any input, and the order is (count of the bucket, hash).
-2. Lines with equal sets are one class, which stands at its first place.
-3. Matching lines share at least two of the first ``n - ceil(percent * n / 100) + 2`` words of
-   each (prefix filter).
-4. Pairs that share two prefix words pass the length and the positional filter and are verified
-   on whole sets. First each class meets the earliest holder of each of its prefix words; only
-   classes that match none of those meet all earlier holders, so a large group of variants costs
-   a pair per member, not all pairs.
+1. Words are ordered by rarity: they are counted over all documents in ``BUCKETS`` hash buckets,
+   and a word's key is its bucket's place by count, then the other bits of its hash. A key holds
+   all 64 bits of the hash, and the table of places has one size at any input.
+2. Lines with equal sets (size, hash of the ordered keys, bitmap) are one class, which stands at
+   its first place. The keys are written once, as far as the prefix goes.
+3. Matching sets share one of the first ``n - ceil(percent * n / 100) + 1`` words of each (prefix
+   filter), and of the smaller one a word of a shorter head. Pairs that do pass the length filter, the positional filter and a bitmap: every word
+   flips one bit of 64 (of 128 in long lines), so sets differ in as many words at least as bits.
+   All three act inside the join.
+4. A word meets all its earlier holders, but a common one only its first holder, found by
+   partial aggregation (in each of ``HEADS`` shares), so a large group of variants costs a few
+   pairs a member. Of a class's partners the likest by bitmap is verified on the whole sets.
+5. In a second pass, classes with further partners, if that one fails, meet all holders of their
+   words, and unmatched ones all holders of their common words; all these pairs are verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.scratch import Scratch
 
-BUCKETS = 1 << 18
+BUCKET_BITS = 16
 LEAST_WORDS = 1
-HASH_BITS = 41
-SHARED = 2  # prefix words that a pair must share
-BROADCAST_ROWS = 200_000
+HOT = 1_000  # occurrences of a word's bucket, and HOT_TIMES the mean, from which the word meets its first holder first
+HOT_TIMES = 8
+HEADS = 4  # first holders of a common word, of as many shares of its holders
+LONG = 88  # words from which a line has the second bitmap
 LAST = 2**63 - 1
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+def plain(text: Column) -> Column:
+    """Text whose white space is spaces and line feeds: those are cut much faster than by a pattern."""
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    return F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
-    """Distinct word hashes of a line."""
-    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-
-
-def prefix_size(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + SHARED
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_text", text).withColumn("_th", F.xxhash64(text))
-
-
-def removed_lines(docs: DataFrame, scratch: Scratch, *, percent: int = 80, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, lines): for each document with removed lines, their numbers from 0."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col).select("_id", "_th", "_text")
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    counted = keyed.select(F.explode(words(F.col("_text"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
-    dense = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")).union(counted).groupBy("b").agg(F.sum("k").alias("k"))
-    counts = dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.transform("all", lambda s: F.least(s["k"], F.lit((1 << 22) - 1))).alias("counts"))
-    # one row of BUCKETS counts: a constant of the plan, of fixed size
-    of_bucket = F.split(F.lit(",".join(map(str, counts.first().counts))), ",").cast("array<bigint>")
-
-    def ranked(line: Column) -> Column:
-        """Distinct words as longs whose order is by rarity."""
-        mask = F.lit((1 << HASH_BITS) - 1)
-        return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.shiftleft(F.get(of_bucket, bucket(F.xxhash64(w))), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(mask)))))
-
-    lines = keyed.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line", "said"))
-    worded = lines.select("_id", "_th", "line", ranked(F.col("said")).alias("w")).where(F.size("w") >= least_words)
-    n = F.size("w")
-    placed = scratch.keep(worded.select("_id", "_th", "line", n.alias("n"), F.xxhash64("w").alias("c"), F.slice("w", F.lit(1), prefix_size(n, percent)).alias("p")), "placed")
-    classes = scratch.keep(placed.groupBy("c", "n").agg(F.min(F.struct("_id", "_th", "line")).alias("first"), F.first("p").alias("p")), "classes")
-
-    # every prefix word of a class, with the class's place; all rows of a word in one partition. A set
-    # of n words is nearest to one of n + 1 that holds it: if n / (n + 1) is too little, it matches
-    # equal sets only, which are its class already
-    entries = classes.where((100 - percent) * F.col("n") >= percent).select(F.posexplode("p").alias("pos", "t"), "c", "n", F.col("first._id").alias("id"), F.col("first.line").alias("line")).repartition("t")
-    place, eplace = F.struct("id", "line", "c"), F.struct("eid", "eline", "ec")
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs with enough prefix words in common that pass the length and positional filters, each once."""
-        total = percent * (F.col("n") + F.col("en"))
-        near_size = 100 * F.least("n", "en") >= percent * F.greatest("n", "en")
-        ahead = F.least("pos", "epos") + F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos"))
-        each = pairs.where(near_size & ((100 + percent) * ahead >= total)).groupBy("c", "n", "ec", "en").agg(F.count("*").alias("shared"))
-        return each.where(F.col("shared") >= SHARED).select("c", "n", "ec", "en")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(c, n) of the later classes of the pairs that match, by the whole sets of just these classes."""
-        pairs = scratch.keep(pairs, f"{name}-pairs")
-        scratch.release()
-        named = pairs.select("c", "n").union(pairs.select("ec", "en")).distinct()
-        wanted = named.join(classes.select("c", "n", "first"), ["c", "n"]).groupBy("first._id", "first._th").agg(F.collect_set(F.struct("first.line", "c", "n")).alias("wanted"))
-        wanted = scratch.keep(wanted, f"{name}-wanted")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        told = keyed.join(small, ["_id", "_th"]).select(F.explode(F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), line_words(F.get(F.split("_text", "\n"), x["line"])).alias("w")))).alias("s"))
-        sets = scratch.keep(told.select("s.c", "s.n", "s.w").dropDuplicates(["c", "n"]), f"{name}-sets")
-        right = sets.select(F.col("c").alias("ec"), F.col("n").alias("en"), F.col("w").alias("w2"))
-        both = F.size(F.array_intersect("w", "w2"))
-        matched = pairs.join(sets, ["c", "n"]).join(right, ["ec", "en"]).where(100 * both >= percent * (F.col("n") + F.col("en") - both)).select("c", "n").distinct()
+    """Distinct word hashes of a line of ``plain`` text."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+
+
+def _bitmap(keys: Column, flips: Callable[[Column], Column]) -> Column:
+    """For each key ``flips`` (0 or 1) at one of 64 bits, by exclusive or."""
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda all_, k: all_.bitwiseXOR(F.call_function("shiftleft", flips(k), k.bitwiseAND(63).cast("int"))))
+
+
+def private_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+class _Lines:
+    """The lines of ``docs``: id, th (hash of the text), said (text)."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, percent: int, least_words: int, id_col: str, text_col: str):
+        self.scratch, self.percent = scratch, percent
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        self.texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), plain(text).alias("said"))
+        buckets = 1 << BUCKET_BITS
+        bucket = lambda h: h.bitwiseAND(buckets - 1).cast("int")
+        counted = self.texts.select(F.explode(F.split(F.replace("said", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
+        dense = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")).union(counted).groupBy("b").agg(F.sum("k").alias("k"))
+        # one row of as many counts as buckets, and from it a constant of the plan: of fixed size
+        counts = dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.col("all.k").alias("k")).first().k
+        order = sorted(range(buckets), key=counts.__getitem__)
+        places = [0] * buckets
+        for place, b in enumerate(order):
+            places[b] = (place - buckets // 2) << 64 - BUCKET_BITS
+        common = max(HOT, HOT_TIMES * sum(counts) // buckets)
+        self.hot_from = min((sum(k < common for k in counts) - buckets // 2) << 64 - BUCKET_BITS, LAST)
+        of_bucket = F.split(F.lit(",".join(map(str, places))), ",").cast("array<bigint>")
+        key = lambda h: F.get(of_bucket, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
+
+        lines = self.texts.select("id", "th", F.posexplode(F.split("said", "\n")).alias("line", "words"))
+        hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
+        keyed = lines.select("id", "th", "line", F.array_remove(F.sort_array(F.array_distinct(F.transform(hashes, key))), key(F.xxhash64(F.lit("")))).alias("w"))
+        n = F.size("w")
+        prefix = F.slice("w", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+        # (sets of a size that only equal sets can match need no prefix)
+        partnered = (100 - percent) * n >= percent
+        placed = keyed.select("id", "th", "line", n.alias("n"), F.xxhash64("w").alias("c"), _bitmap(F.col("w"), lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(n >= LONG, _bitmap(F.col("w"), lambda k: F.shiftright(k, 6).bitwiseAND(1))).otherwise(0).alias("more"), F.when(partnered, prefix).alias("p"))
+        # a filter on n above would compute the keys twice
+        self.placed = scratch.keep(placed, "placed", hashes=True).where(F.col("n") >= max(least_words, 1))
+        classes = self.placed.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
+        self.classes = scratch.keep(classes, "classes", hashes=True)
+
+    def entries(self, classes: DataFrame, part: str = "all") -> DataFrame:
+        """Prefix words of every class, with the class's place and what the filters need.
+
+        ``part``: "head" has those that a set at least as large must share, "tail" the rest.
+        """
+        head = F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)).cast("int") + 1
+        first = F.greatest(head, F.lit(0)) if part == "tail" else F.lit(0)
+        held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p"))}[part]
+        at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(first)
+        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more")
+        spread = spread.select("t", "id", "line", "c", (F.col("at") + F.col("pos")).alias("at"), "bits", "more")
+        # (nothing is null; said here so that joins by unlike conditions read one shuffle)
+        return spread.where("t is not null and id is not null and at is not null")
+
+    def sides(self) -> tuple[Column, Column, Column, Column]:
+        """Of entries ``x`` and ``y``: their sizes, words they differ in at least, whether they pass the length, positional and bitmap filters."""
+        at = {side: F.col(f"{side}.at") for side in "xy"}
+        size = {side: F.shiftright(at[side], 32) for side in "xy"}
+        pos = {side: at[side].bitwiseAND(0x7FFFFFFF) for side in "xy"}
+        percent, both = self.percent, size["x"] + size["y"]
+        ahead = F.least(*pos.values()) + F.least(*(size[side] - pos[side] for side in "xy"))
+        one, two = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("bits", "more"))
+        # the bitmap of all words is that of either half by exclusive or: two long lines compare the halves
+        differ = F.when(F.least(*size.values()) >= LONG, F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
+        alike = (100 * F.least(*size.values()) >= percent * F.greatest(*size.values())) & ((100 + percent) * ahead >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
+        return size["x"], size["y"], differ, alike
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(c) of the later classes of the pairs (c, e) that match, by the whole sets of just these classes."""
+        scratch = self.scratch
+        named = pairs.select("c").union(pairs.select("e")).distinct()
+        wanted = named.join(self.classes.select("c", "first"), "c").groupBy("first.id", "first.th").agg(F.collect_set(F.struct("first.line", "c")).alias("wanted"))
+        wanted = scratch.small(scratch.keep(wanted, f"{name}-wanted"), f"{name}-wanted")
+        told = lambda all_: F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), F.get(all_, x["line"]).alias("words")))
+        # (the inner array holds the lines, so that they are cut once a text and not once a line)
+        found = self.texts.join(wanted, ["id", "th"]).select(F.explode(F.flatten(F.transform(F.array(F.split("said", "\n")), told))).alias("s"))
+        sets = scratch.keep(found.select("s.c", line_words(F.col("s.words")).alias("w")).dropDuplicates(["c"]), f"{name}-sets")
+        right = sets.select(F.col("c").alias("e"), F.col("w").alias("v"))
+        both = F.size(F.array_intersect("w", "v"))
+        matched = pairs.join(sets, "c").join(right, "e").where(100 * both >= self.percent * (F.size("w") + F.size("v") - both)).select("c").distinct()
         matched = scratch.keep(matched, name)
-        scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-sets")
-        scratch.release()
+        scratch.drop(f"{name}-wanted", f"{name}-sets")
         return matched
 
-    own = Window.partitionBy("t")
-    head = F.min(F.struct("id", "line", "c", "n", "pos")).over(own)
-    led = entries.withColumn("e", head).select("c", "n", "pos", "id", "line", F.col("e.c").alias("ec"), F.col("e.n").alias("en"), F.col("e.pos").alias("epos"), F.col("e.id").alias("eid"), F.col("e.line").alias("eline"))
-    near = verified(filtered(led.where(place > eplace)), "near")
-    # what matches none of those meets every earlier holder: here all shared prefix words are counted
-    known = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-    # (an outer join, as an anti join would move below the shuffle and make two of it)
-    rest = entries.join(known.withColumn("done", F.lit(True)), ["c", "n"], "left").where("done is null").drop("done")
-    holders = entries.select("t", F.col("c").alias("ec"), F.col("n").alias("en"), F.col("pos").alias("epos"), F.col("id").alias("eid"), F.col("line").alias("eline"))
-    far = verified(filtered(rest.join(holders, "t").where(place > eplace)), "far")
-    gone = near.union(far).distinct().withColumn("gone", F.lit(True))
-    judged = classes.join(gone, ["c", "n"], "left")
-    later = F.struct("_id", "_th", "line") > F.col("first")
-    lost = placed.join(judged, ["c", "n"]).where(F.col("gone").isNotNull() | later)
-    return lost.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    def removed(self) -> DataFrame:
+        """(id, th, lines): for each document with removed lines, their numbers from 0."""
+        scratch = self.scratch
+        place = {side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line"), F.col(f"{side}.c")) for side in "xy"}
+        later = place["x"] > place["y"]
+        (x_size, y_size, differ, alike), same = self.sides(), F.col("x.t") == F.col("y.t")
+        c, e = F.col("x.c"), F.col("y.c")
+        # the order of partners: by the share of words that differ, then by hash
+        score = F.shiftleft(F.floor(1000 * differ / (x_size + y_size)).cast("long"), 44)
+        pair = c.alias("c"), e.alias("e"), score.bitwiseOR(e.bitwiseAND(2**44 - 1)).alias("score")
+        every = self.entries(self.classes)
+        # two sets share a word of the smaller one's head and the larger one's prefix
+        heads, tails = (self.entries(self.classes, part).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
+        met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & alike & later).select(*pair)
+        first, last = F.when(later, e).otherwise(c), F.when(later, c).otherwise(e)
+        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size >= y_size) & alike).select(last.alias("c"), first.alias("e"), score.bitwiseOR(first.bitwiseAND(2**44 - 1)).alias("score"))
+        hot = every.where(F.col("t") >= self.hot_from)
+        firsts = hot.groupBy("t", F.pmod(F.hash("c"), F.lit(HEADS))).agg(F.min(F.struct("id", "line", "c", "at", "bits", "more")).alias("e")).select("t", "e.*")
+        led = hot.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
+        first = scratch.keep(met.union(met_tail).union(led).groupBy("c").agg(F.min_by("e", "score").alias("e"), (F.min("e") < F.max("e")).alias("many")), "first-pairs")
+        matched = self.verified(first.select("c", "e"), "first")
+        # what is left: all words of classes with further partners, common words of all others
+        known = scratch.small(matched.withColumn("done", F.lit(True)), "first")
+        failed = scratch.keep(first.where("many").join(known, "c", "left").where("done is null").select("c", F.lit(True).alias("failed")), "failed")
+        open_ = self.classes.join(known, "c", "left").where("done is null").join(scratch.small(failed, "failed"), "c", "left")
+        asks = open_.where(F.col("failed") | (F.element_at("p", -1) >= self.hot_from)).select("c", "n", "bits", "more", "first", F.when(F.col("failed"), F.col("p")).otherwise(F.filter("p", lambda t: t >= self.hot_from)).alias("q"), "p").where(F.size("q") > 0)
+        asked = asks.select("c", "n", "bits", "more", "first", F.explode("q").alias("t"), (F.array_position("p", F.col("t")) - 1).alias("pos"))
+        asked = scratch.keep(asked.select("t", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("at"), "bits", "more"), "asked")
+        late = every.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2]).distinct()
+        late = scratch.keep(late.join(first, ["c", "e"], "left_anti"), "late-pairs")
+        gone = matched.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True))
+        judged = self.classes.join(gone, "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
+        judged = scratch.small(scratch.keep(judged, "judged"), "judged")
+        lost = self.placed.select("id", "th", "line", "c", "n", "bits", "more").join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
+        lost = scratch.keep(lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lost")
+        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "late-pairs", "late", "judged")
+        return scratch.small(lost, "lost")
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = 80, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed lines taken out of the text, and the columns n_lines, removed_lines (line numbers from 0).
 
     Lines are cut at line feeds; those of fewer than ``least_words`` distinct words (by default
-    those without words) are kept and match nothing. Null texts stay null with no line. Null ids come last. Rows that share id and
-    text are one document to the order: they keep the same lines. Extra columns stay as they are;
-    an empty table gives an empty result.
+    those without words) are kept and match nothing. Null texts stay null with no line. Null ids
+    come last. The texts of rows that share an id are compared line number by line number, ties by
+    hash. Rows that share id and text are one document to the order: they keep the same lines.
+    Extra columns stay as they are, whatever their names; only n_lines and removed_lines of
+    ``docs`` give way to the operator's. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lost = removed_lines(docs, scratch, percent=percent, least_words=least_words, id_col=id_col, text_col=text_col)
-    lost = scratch.keep(lost.withColumnRenamed("lines", "_lost"), "lost")
-    scratch.drop("placed", "classes", "near", "far")
-    small = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
-    joined = _keyed(docs, id_col, text_col).join(small, ["_id", "_th"], "left")
-    split = F.split(F.col("_text"), "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_lost")), lambda k: F.get(split, k))
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.alias("n_lines"), F.coalesce("_lost", F.array().cast("array<int>")).alias("removed_lines"))
+    lost = _Lines(docs, scratch, percent, least_words, id_col, text_col).removed()
+    id_, th, lines = private_names(docs.columns, "_id", "_th", "_lost")
+    lost = lost.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("lines").alias(lines))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn(id_, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(th, F.xxhash64(raw))
+    kept = F.filter(F.split(raw, "\n"), lambda line, k: ~F.array_contains(lines, k))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit("\n"))) + 1).cast("long")
+    own = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")]
+    return keyed.join(lost, [id_, th], "left").select(*own, count.alias("n_lines"), F.coalesce(lines, F.array().cast("array<int>")).alias("removed_lines"))

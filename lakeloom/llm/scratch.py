@@ -5,13 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FALLBACK = "/tmp/checkpoints"
+BROADCAST_BYTES = 12 << 20  # of a written table, up to which it is broadcast
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session has none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK}"
+    """The folder of ``spark.checkpoint.dir``; executors must share it, so nothing stands in for it on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local["):  # one machine: a folder of the session's own
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 class Scratch:
@@ -25,18 +34,32 @@ class Scratch:
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.deleteOnExit(path)
 
-    def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """Write ``df`` once and read it back: later users neither recompute it nor depend on executors' disks."""
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}")
+    def keep(self, df: DataFrame, name: str, partition_by: str | None = None, hashes: bool = False) -> DataFrame:
+        """Write ``df`` once and read it back: later users neither recompute it nor depend on executors' disks.
+
+        The shuffle files of the write go when it has ended. ``hashes``: dictionaries of its values would not pay.
+        """
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer = df.write.mode("overwrite")
+            if hashes:
+                writer = writer.option("parquet.enable.dictionary", "false")
+            if partition_by:
+                writer = writer.partitionBy(partition_by)
+            writer.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def size(self, name: str) -> int:
+        """Bytes of a kept table."""
+        return self.fs.getContentSummary(self.fs_path(f"{self.root}/{name}")).getLength()
+
+    def small(self, df: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
+        """``df``, made from the kept table ``name``, to be broadcast if that table has at most ``most`` bytes."""
+        return F.broadcast(df) if self.size(name) <= most else df
+
     def drop(self, *names: str) -> None:
         for name in names:
             self.fs.delete(self.fs_path(f"{self.root}/{name}"), True)
-
-    def release(self) -> None:
-        """Lets go of the shuffle files of finished jobs: Spark deletes them once the driver's JVM has collected garbage."""
-        self.spark._jvm.System.gc()

@@ -6,13 +6,14 @@ working memory follows ``CHUNK`` (or the longest single text), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,6 +56,40 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: What tasks leave in a worker's memory; a worker is used again by other tasks, of other stages.
+_held: list[Callable[[], None]] = []
+
+
+def forgets(let_go: Callable[[], None]) -> None:
+    """Has ``let_go`` called at the end of each task whose function is ``frugal``."""
+    if let_go not in _held:
+        _held.append(let_go)
+
+
+def give_back() -> None:
+    """Lets go of all that tasks have left in this worker."""
+    for let_go in _held:
+        let_go()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` (over an iterator of batches), after which the worker gives its memory back."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the offsets of each row; null rows are empty."""
     column = pc.fill_null(column, "") if column.null_count else column
