@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakeloom.llm import textvec
 from lakeloom.llm.scratch import Scratch
@@ -30,6 +29,7 @@ LEAST_PREFIX, LONGEST_PREFIX = 3, 14
 PRECISION = 0.85  # of an entry's documents that are toxic
 FUZZY_FROM = 5  # letters from which a word may hold an edit
 WINDOW = 10  # words on either side of a hit
+HELD_CANDIDATES = 100_000  # beginnings that a task gathers before it hands them on
 _OPEN, _CLOSE, _BOTH = "«“„‹", "»”›", '"'
 
 _LETTER, _QUOTE_OPEN, _QUOTE_CLOSE, _QUOTE = 1, 2, 4, 8
@@ -174,13 +174,24 @@ def build_automaton(words: list[str], stems: list[str]) -> Automaton:
     return Automaton(classes, np.array(moves, np.int32), np.array([accept(p) for p in number], np.uint8))
 
 
+_CANDIDATE = {"term": pa.string(), "near": pa.int64(), "whole": pa.bool_(), "clean": pa.int64()}
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word beginnings with the neighbours they have in toxic documents, and in how many clean ones they are."""
+    bad: set[tuple[str, int, bool]] = set()
+    clean: Counter[str] = Counter()
+
+    def found() -> pa.RecordBatch:
+        rows = [*((t, n, w, 0) for t, n, w in bad), *((t, None, False, n) for t, n in clean.items())]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        bad.clear()
+        clean.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _CANDIDATE.values(), strict=True)], names=list(_CANDIDATE))
+
     for batch in batches:
         toxic = batch.column(1).to_pylist()
         data, offsets = textvec.string_buffers(batch.column(0))
-        clean: Counter[str] = Counter()
-        bad: set[tuple[str, int, bool]] = set()
         for first, last in textvec.chunks(offsets):
             words = letter_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             for row in range(first, last):
@@ -191,9 +202,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         bad.update((word[:k], near, k == len(word)) for k in range(LEAST_PREFIX, min(len(word), LONGEST_PREFIX) + 1))
                 else:
                     clean.update({word[:k] for word in set(own) for k in range(LEAST_PREFIX, min(len(word), LONGEST_PREFIX) + 1)})
-        rows = [*((t, n, w, 0) for t, n, w in bad), *((t, None, False, n) for t, n in clean.items())]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["term", "near", "whole", "clean"])
+                if len(bad) + len(clean) > HELD_CANDIDATES:
+                    yield found()
+    yield found()
 
 
 def choose_terms(found: list[tuple[str, int, int, int]], share: float, candidates: int) -> tuple[list[str], list[str]]:
@@ -293,21 +304,26 @@ def _measure(model):
     return run
 
 
-def _score(model, text: int):
-    """The batch as it came, with each row's score as last column."""
+def _score(model):
+    """The scores of a column of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton, weights, spared = model.value
-        for batch in batches:
-            data, offsets = textvec.string_buffers(batch.column(text))
-            scores = np.zeros(batch.num_rows)
+        for column in columns:
+            data, offsets = textvec.string_buffers(column)
+            scores = np.zeros(len(column))
             for first, last in textvec.chunks(offsets):
                 words = letter_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 x = context_features(words, *_hits(words, automaton, spared))
                 scores[first:last] = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[f"c{k}" for k in range(batch.num_columns)] + ["score"])
+            yield pa.array(scores)
 
-    return run
+    task = textvec.frugal(run)
+
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return task(columns)
+
+    return F.arrow_udf(scored, "double")
 
 
 def held_out(id_col: Column) -> Column:
@@ -327,7 +343,8 @@ def scored_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     first by the hash of their id among those not held out; all documents are scored, over whole
     texts. Null texts are empty and get the constant's score. Null labels are left out. Without a
     usable label of either kind every score is the share of toxic labels (0 without any).
-    Repeated rows are scored each; extra columns stay; an empty table gives an empty result.
+    Repeated rows and null ids are scored each; extra columns stay, but one named ``score_col`` is
+    replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -340,14 +357,14 @@ def scored_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     share = (count.bad or 0) / count.n if count.n else 0.0
     words, stems, weights, spared = [], [], np.zeros(FEATURES + 1), set()
     if 0 < share < 1:
-        terms = scratch.keep(sample.select("text", "toxic").repartition(8).mapInArrow(_candidates, "term string, near long, whole boolean, clean long").groupBy("term").agg(F.count_distinct("near").alias("bad"), F.count_distinct(F.when(F.col("whole"), F.col("near"))).alias("whole"), F.sum("clean").alias("clean")), "terms")
+        terms = scratch.keep(sample.select("text", "toxic").repartition(8).mapInArrow(textvec.frugal(_candidates), "term string, near long, whole boolean, clean long").groupBy("term").agg(F.count_distinct("near").alias("bad"), F.count_distinct(F.when(F.col("whole"), F.col("near"))).alias("whole"), F.sum("clean").alias("clean")), "terms")
         found = terms.where(f"bad >= 3 and bad >= {PRECISION} * (bad + clean)").orderBy(F.desc("bad"), "term").limit(50 * MOST_TERMS).collect()
         words, stems = choose_terms([tuple(r) for r in found], share, terms.count())
         automaton = build_automaton(words, stems)
 
         def measured() -> tuple[list, Counter, Counter]:
             model = spark.sparkContext.broadcast((automaton, weights, spared))
-            rows = sample.select("toxic", "text").mapInArrow(_measure(model), "toxic int, x array<double>, edited array<string>").collect()
+            rows = sample.select("toxic", "text").mapInArrow(textvec.frugal(_measure(model)), "toxic int, x array<double>, edited array<string>").collect()
             bad, good = (Counter(t for r in rows if r.toxic == k for t in r.edited) for k in (1, 0))
             return rows, bad, good
 
@@ -360,8 +377,5 @@ def scored_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
         weights[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
     scratch.drop("sample", "terms")
     model = spark.sparkContext.broadcast((automaton, weights, spared))
-    text = F.col(text_col).cast("string")
-    carried = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)), text.alias(f"c{len(docs.columns)}"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in carried.schema] + [T.StructField("score", T.DoubleType())])
-    scored = carried.mapInArrow(_score(model, len(docs.columns)), schema)
-    return scored.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)), F.col("score").alias(score_col))
+    # only the texts go to Python; the other columns stay where they are
+    return docs.select(*(F.col(c) for c in docs.columns if c.lower() != score_col.lower()), _score(model)(F.col(text_col).cast("string")).alias(score_col))
