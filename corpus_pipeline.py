@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.jaccard_join import jaccard_components
-from lakeloom.llm.line_dedup import dedup_lines
+from lakeloom.llm.line_dedup import dedup_lines, private_names
 from lakeloom.llm.mixing import mixed_documents
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.scratch import Scratch
@@ -23,7 +23,8 @@ TOXIC_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below ``TOXIC_FROM``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return scored_documents(docs, labels, score_col="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    (score,) = private_names(docs.columns, "_toxicity")
+    return scored_documents(docs, labels, score_col=score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, and all that are near to none."""
-    dropped = jaccard_components(docs).where("n_shingles > 0 and component_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each group of near-duplicates, and all that are near to none.
+
+    Rows without an id come after all others, those of one text under one number. Of rows that
+    share id and text (two hashes, of 64 and 32 bits) one stays; other texts of one id stay or go
+    together. Texts without words stay.
+    """
+    scratch = Scratch(spark, "near-copies")
+    id_, h1, h2 = private_names(docs.columns, "_id", "_h1", "_h2")
+    text = F.coalesce("text", F.lit(""))
+    numbered = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseAND(2**61 - 1) + 2**62)
+    keyed = docs.select(*docs.columns, numbered.alias(id_), F.xxhash64(text).alias(h1), F.hash(text).alias(h2))
+    dropped = jaccard_components(keyed, id_col=id_).where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_))
+    left = keyed.join(dropped, id_, "left_anti")
+    repeated = scratch.keep(keyed.where(text.rlike(r"[^\x20\x09-\x0D]")).groupBy(id_, h1, h2).count().where("count > 1").drop("count"), "repeated")
+    if not repeated.isEmpty():
+        told = scratch.small(repeated, "repeated")
+        left = left.join(told, [id_, h1, h2], "left_anti").unionByName(left.join(told, [id_, h1, h2], "left_semi").dropDuplicates([id_, h1, h2]))
+    return left.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,14 +73,17 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Tokenizing, a fitted classifier and connected components are beyond SQL; tests compare the stages with brute force.
+#: Tokenizing, a fitted classifier and connected components are beyond SQL; a test replays the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; a stage's table goes when the next one is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
