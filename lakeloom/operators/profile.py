@@ -93,7 +93,7 @@ def with_judge(df: DataFrame, problems: DataFrame) -> DataFrame:
     from lakeloom.operators.audit import assert_unique
 
     assert_unique(problems, "id")
-    return df.join(F.broadcast(problems.select(F.col("id").alias("problem_id"), F.col("dataset").alias("judge"))), "problem_id", "left")
+    return df.join(problems.select(F.col("id").alias("problem_id"), F.col("dataset").alias("judge")), "problem_id", "left")
 
 
 def submitted_at(date: Column) -> Column:

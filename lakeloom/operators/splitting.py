@@ -32,6 +32,8 @@ def allocate_groups(sizes: dict[str, int], ratios: dict[str, float] = RATIOS, se
     check_ratios(ratios)
     if len(sizes) < len(SPLITS):
         raise ValueError(f"{len(sizes)} group(s) cannot fill {len(SPLITS)} splits")
+    if bad := sorted(g for g, n in sizes.items() if n <= 0):
+        raise ValueError(f"{len(bad)} group(s) have no rows: {bad[:5]}")
     total = sum(sizes.values())
     target = {s: total * ratios[s] for s in SPLITS}
     held = dict.fromkeys(SPLITS, 0)

@@ -127,6 +127,11 @@ SQL: dict[str, str] = {
     "byte_check_summary": "SELECT count(*) AS compared, avg(CASE WHEN strlen(text) = n_chars THEN 1.0 ELSE 0.0 END) AS equal_share, min(strlen(text) - n_chars) AS least, max(strlen(text) - n_chars) AS most FROM documents",
     "worst_byte_diffs": "SELECT doc_id AS id, n_chars AS code_size, CAST(strlen(text) AS INTEGER) AS length, strlen(text) - n_chars AS diff FROM documents ORDER BY abs(strlen(text) - n_chars) DESC, doc_id LIMIT 5",
     "taxonomy_leaf_dim": f"SELECT CAST(a AS INTEGER) AS leaf_id, b AS leaf, c AS coarse_label, CAST(d AS INTEGER) AS coarse_id, CAST(e AS INTEGER) AS tier, f AS terminal FROM (VALUES {_VALUES([(k, leaf, parent, vocab.COARSE.index(parent), tier, leaf == parent) for k, (leaf, parent, tier) in enumerate(vocab.LEAVES)])}) t(a, b, c, d, e, f)",
+    "encoding_survey": """SELECT 'utf-8' AS encoding, count(*) AS n, count(*) FILTER (strlen(text) <> len(text)) AS high_byte FROM (
+  SELECT text FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR) LIMIT 2000) HAVING count(*) > 0""",
+    "metadata_csv": _SUB + " SELECT submission_id, problem_id, user_id, date, language, original_language, 'cpp' AS filename_ext, status, CAST(cpu_time AS BIGINT) AS cpu_time, CAST(memory AS BIGINT) AS memory, CAST(code_size AS BIGINT) AS code_size FROM submissions",
+    "report_csv": _SUB + " SELECT status, CAST(count(*) AS BIGINT) AS n FROM submissions GROUP BY status",
+    "path_lines": "SELECT DISTINCT CAST(doc_id AS VARCHAR) || '.cpp' AS archive_path FROM documents",
     "exact_n_sample": _SUB + " SELECT submission_id, status FROM submissions ORDER BY md5('42:' || submission_id), submission_id LIMIT 500",
     "clean_corpus": _CORPUS + _allocated("corpus") + _drawn("rows_split") + _keep("drawn") + " SELECT submission_id, problem_id, coarse_label, split, sha256 FROM kept",
 }

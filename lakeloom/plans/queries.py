@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from lakeloom import vocab
 from lakeloom.functions.content import content_hash, strip_prefix
 from lakeloom.functions.ordering import exact_sample, random_split, with_rank
 from lakeloom.operators import audit, dedup, inference, labeling, probe, profile, sampling, splitting
+from lakeloom.sources import readers
 from lakeloom.sources.fixtures import corpus, submissions
 from lakeloom.vocab import SEED
 
@@ -168,6 +170,38 @@ def exact_n_sample(spark, sf_dir):
     return exact_sample(submissions(spark, sf_dir), "submission_id", 500, SEED).select("submission_id", "status")
 
 
+def _written(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, gone when the JVM ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/lakeloom-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def metadata_csv(spark, sf_dir):
+    """Submissions written as CSV files of two column orders and read back by name."""
+    folder = _written(spark, "metadata")
+    rows = submissions(spark, sf_dir).withColumn("filename_ext", F.lit("cpp"))
+    for accepted, columns in ((True, list(readers.METADATA)), (False, [*reversed(readers.METADATA)])):
+        rows.where((F.col("status") == "Accepted") == accepted).select(*columns).write.mode("append").option("header", True).csv(folder)
+    return readers.read_metadata(spark, folder, "*.csv")
+
+
+def report_csv(spark, sf_dir):
+    """A report written as CSV and read back as a dimension table."""
+    folder = _written(spark, "report")
+    readers.write_report(submissions(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")), folder)
+    return readers.read_dimension(spark, folder, {"status": "string", "n": "bigint"})
+
+
+def path_lines(spark, sf_dir):
+    """A list of paths written as text and read back."""
+    folder = _written(spark, "paths")
+    readers.write_lines(corpus(spark, sf_dir).select(F.concat("submission_id", F.lit(".cpp")).alias("path")), "path", folder)
+    return readers.read_lines(spark, folder)
+
+
 def encoding_survey(spark, sf_dir):
     return probe.encoding_survey(corpus(spark, sf_dir))
 
@@ -241,6 +275,9 @@ QUERIES: dict[str, Query] = {
     "worst_byte_diffs": worst_byte_diffs,
     "taxonomy_leaf_dim": lambda spark, sf_dir: vocab.dim_leaf(spark),
     "exact_n_sample": exact_n_sample,
+    "metadata_csv": metadata_csv,
+    "report_csv": report_csv,
+    "path_lines": path_lines,
     "encoding_survey": encoding_survey,
     "compile_probe": compile_probe,
     "predict_distribution": predict_distribution,

@@ -7,6 +7,7 @@ are read side by side. Reading ends at the last wanted member.
 from __future__ import annotations
 
 import tarfile
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,8 +84,14 @@ def extraction(spark: SparkSession, path: str, wanted: list[str], prefix: str) -
     return files, report
 
 
-def dry_run(spark: SparkSession, path: str, wanted: list[str], archive_bytes: int, seconds: float, fraction: float = 0.01) -> DataFrame:
-    """A pass that ends at ``fraction`` of the wanted members, with both projections for a full pass."""
+def dry_run(spark: SparkSession, path: str, wanted: list[str], archive_bytes: int, fraction: float = 0.01) -> DataFrame:
+    """A timed pass that ends at ``fraction`` of the wanted members, with both projections for a full pass.
+
+    The pass runs here. ``reached`` says whether the archive held as many wanted members.
+    """
     goal = max(1, int(len(set(wanted)) * fraction))
-    seen = read_members(spark, path, wanted, goal).agg(F.count("*").alias("found"), F.max("scanned").alias("members_scanned"), F.max("bytes_seen").alias("bytes_seen"))
-    return seen.select(F.lit(goal).alias("target"), "found", "members_scanned", "bytes_seen", F.lit(seconds / fraction).alias("linear_projection_s"), (F.lit(archive_bytes * seconds) / F.col("bytes_seen")).alias("rate_projection_s"))
+    began = time.perf_counter()
+    seen = read_members(spark, path, wanted, goal).agg(F.count("*").alias("found"), F.max("scanned").alias("members"), F.max("bytes_seen").alias("bytes")).first()
+    took = time.perf_counter() - began
+    row = (goal, seen.found, seen.found >= goal, seen.members or 0, seen.bytes or 0, took, (seen.members or 0) / took, took / fraction, archive_bytes * took / seen.bytes if seen.bytes else None)
+    return spark.createDataFrame([row], "target long, found long, reached boolean, members_scanned long, bytes_seen long, elapsed_s double, members_per_s double, linear_projection_s double, rate_projection_s double")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from functools import reduce
+from operator import and_
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-METADATA = {  # column -> type, in file order
+# The columns and types of the data format.
+METADATA = {
     "submission_id": "string",
     "problem_id": "string",
     "user_id": "string",
@@ -25,12 +30,29 @@ METADATA = {  # column -> type, in file order
 
 
 def read_metadata(spark: SparkSession, folder: str, pattern: str = "p[0-9]*.csv") -> DataFrame:
-    """The per-problem CSV files of a folder: named projection, pinned types."""
-    raw = spark.read.option("header", True).option("nullValue", "").option("pathGlobFilter", pattern).csv(folder)
-    missing = [c for c in METADATA if c not in raw.columns]
-    if missing:
-        raise KeyError(f"missing columns: {missing}")
-    return raw.select(*(F.col(c).cast(t).alias(c) for c, t in METADATA.items()))
+    """The per-problem CSV files of a folder: named projection, pinned types; each file may order its columns its own way.
+
+    A file without a header that names all columns is a KeyError. Files of one header are read
+    together, so there are as many scans as headers, and one of the lines to find those.
+    """
+    text = spark.read.option("pathGlobFilter", pattern).text(folder)
+    named = reduce(and_, (F.col("value").contains(c) for c in METADATA))
+    headers = {unquote(r.path): next(csv.reader([r.header])) for r in text.where(named).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("value").alias("header")).collect()}
+    by_path = {urlparse(p).path: h for p, h in headers.items()}
+    bare = sorted(p for p in text.inputFiles() if not set(METADATA) <= set(by_path.get(unquote(urlparse(p).path), ())))
+    if bare:
+        raise KeyError(f"{len(bare)} file(s) lack columns of {list(METADATA)}: {bare[:5]}")
+    if not headers:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, header in headers.items():
+        groups.setdefault(tuple(header), []).append(path)
+    read = spark.read.option("header", True).option("nullValue", "")
+    parts = []
+    for header, paths in sorted(groups.items()):
+        raw = read.schema(", ".join(f"`{c}` string" for c in header)).csv(sorted(paths))
+        parts.append(raw.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in METADATA.items())))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -39,11 +61,17 @@ def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> D
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.cpp") -> DataFrame:
-    """(path relative to the folder, length, content) of all files below it; Spark's reader passes over empty files."""
+    """(path relative to the folder, length, content) of all files below it.
+
+    Spark's reader opens no empty files; they are added from its own listing.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    root = folder.removeprefix("file:").rstrip("/") + "/"
-    bare = F.regexp_replace("path", r"^file:/+", "/")
-    return found.select(F.replace(bare, F.lit(root), F.lit("")).alias("path"), "length", "content")
+    root = urlparse(folder).path.rstrip("/") + "/"
+    listed = spark.createDataFrame([(unquote(urlparse(p).path),) for p in found.inputFiles()], "path string")
+    authority = urlparse(folder).netloc
+    read = found.select(F.regexp_replace("path", rf"^[a-z0-9]+:/*{authority}/+", "/").alias("path"), "length", "content")
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return read.unionByName(empty).select(F.replace("path", F.lit(root), F.lit("")).alias("path"), "length", "content")
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "archive_path") -> DataFrame:

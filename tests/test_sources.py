@@ -5,6 +5,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.operators.dedup import hash_corpus
 from lakeloom.sources import archive, readers
 
 
@@ -18,21 +19,28 @@ def test_metadata_by_name_not_place(spark, tmp_path):
     assert row.submission_id == "s1" and row.cpu_time is None and row.memory == -1 and row.original_language == "NA"
     dim = readers.read_dimension(spark, str(tmp_path / "problem_list.csv"), {"id": "string", "dataset": "string"})
     assert tuple(dim.first()) == ("p00001", "AIZU")
+    other = order[3:] + ["extra"] + order[:3]
+    (tmp_path / "p00003.csv").write_text(",".join(other) + "\n" + ",".join({**values, "extra": "7", "submission_id": "s3", "code_size": "99"}[c] for c in other) + "\n")
+    assert {(r.submission_id, r.code_size, r.memory) for r in readers.read_metadata(spark, str(tmp_path)).collect()} == {("s1", 12, -1), ("s3", 99, -1)}
+    with pytest.raises(FileNotFoundError):
+        readers.read_metadata(spark, str(tmp_path), "q*.csv")
     (tmp_path / "p00002.csv").write_text("submission_id\nx\n")
     with pytest.raises(KeyError):
         readers.read_metadata(spark, str(tmp_path), "p00002.csv")
 
 
 def test_files_lines_and_sinks(spark, tmp_path):
-    files = spark.createDataFrame([("a/C++/1.cpp", bytearray(b"int x;")), ("b/C++/2.cpp", bytearray(b"\xff"))], "path string, content binary")
+    files = spark.createDataFrame([("a/C++/1.cpp", bytearray(b"int x;")), ("b/C++/2.cpp", bytearray(b"\xff")), ("b/C++/none at all.cpp", bytearray())], "path string, content binary")
     readers.write_tree(files, str(tmp_path / "tree"))
     back = {r.path: (r.length, bytes(r.content)) for r in readers.read_files(spark, str(tmp_path / "tree")).collect()}
-    assert back == {"a/C++/1.cpp": (6, b"int x;"), "b/C++/2.cpp": (1, b"\xff")}
+    assert back == {"a/C++/1.cpp": (6, b"int x;"), "b/C++/2.cpp": (1, b"\xff"), "b/C++/none at all.cpp": (0, b"")}
+    hashes = hash_corpus(files.select("path"), readers.read_files(spark, str(tmp_path / "tree")))
+    assert hashes.where("exists").count() == 3
     readers.write_lines(files, "path", str(tmp_path / "wanted"))
-    assert readers.read_lines(spark, str(tmp_path / "wanted"), "p").count() == 2
+    assert readers.read_lines(spark, str(tmp_path / "wanted"), "p").count() == 3
     readers.write_parquet(files, str(tmp_path / "t"))
     readers.write_report(files.select("path"), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3
     readers.write_config({"a": 1}, tmp_path / "c.json")
     assert json.loads((tmp_path / "c.json").read_text()) == {"a": 1}
     readers.copy_file(spark, str(tmp_path / "c.json"), str(tmp_path / "d.json"))
@@ -58,5 +66,7 @@ def test_archive(spark, tmp_path):
     assert report.first().asDict() == {"wanted": 4, "extracted": 2, "shortfall": 2, "not_regular": 1, "members_scanned": 7, "bytes_written": 4}
     early = archive.read_members(spark, str(path), ["root/data/0.cpp", "root/data/1.cpp"])
     assert early.agg(F.max("scanned")).first()[0] == 2  # ends at the last wanted member
-    dry = archive.dry_run(spark, str(path), [f"root/data/{k}.cpp" for k in range(6)], path.stat().st_size, 2.0, 0.5).first()
-    assert dry.target == dry.found == 3 and dry.linear_projection_s == 4.0
+    dry = archive.dry_run(spark, str(path), [f"root/data/{k}.cpp" for k in range(6)], path.stat().st_size, 0.5).first()
+    assert dry.target == dry.found == 3 and dry.reached and dry.elapsed_s > 0 and dry.linear_projection_s == 2 * dry.elapsed_s
+    short = archive.dry_run(spark, str(path), ["root/data/5.cpp", "none", "nor this", "nor that"], path.stat().st_size, 0.5).first()
+    assert (short.target, short.found, short.reached, short.members_scanned) == (2, 1, False, 6)

@@ -7,14 +7,16 @@ from lakeloom.operators import splitting
 from lakeloom.vocab import RATIOS, SPLITS
 
 
-def pareto(seed=3, n=400):
+def ladder(steps=250, seed=11):
+    """Group sizes from a geometric ladder with jitter, a few giants and many groups of one row."""
     rng = random.Random(seed)
-    return {f"p{k:05d}": int(rng.paretovariate(1.2) * 300) + 1 for k in range(n)}
+    sizes = {f"g{k}": int(1.03**k) + rng.randrange(5) + 1 for k in range(steps)}
+    return sizes | {f"one{k}": 1 for k in range(steps // 2)}
 
 
-@pytest.mark.parametrize("seed", [0, 1, 42, 1234])
+@pytest.mark.parametrize("seed", [5, 77, 901])
 def test_balance(seed):
-    sizes = pareto()
+    sizes = ladder()
     out = splitting.allocate_groups(sizes, seed=seed)
     assert set(out) == set(sizes) and set(out.values()) == set(SPLITS)
     total = sum(sizes.values())
@@ -22,8 +24,14 @@ def test_balance(seed):
         assert abs(sum(sizes[g] for g in out if out[g] == s) / total - RATIOS[s]) < 0.005
 
 
+@pytest.mark.parametrize("size", [0, -3])
+def test_sizes_are_positive(size):
+    with pytest.raises(ValueError, match="empty one"):
+        splitting.allocate_groups(ladder() | {"empty one": size})
+
+
 def test_allocation_does_not_depend_on_order_but_on_seed():
-    sizes = pareto()
+    sizes = ladder()
     assert splitting.allocate_groups(dict(reversed(sizes.items()))) == splitting.allocate_groups(sizes)
     even = dict.fromkeys(sizes, 7)
     assert splitting.allocate_groups(even, seed=1) != splitting.allocate_groups(even, seed=2)
@@ -32,7 +40,7 @@ def test_allocation_does_not_depend_on_order_but_on_seed():
 @pytest.mark.parametrize("ratios", [{"train": 1.0}, {"train": 0.5, "val": 0.2, "test": 0.2}, {"train": 0.8, "val": 0.2, "test": 0.0}])
 def test_bad_ratios(ratios):
     with pytest.raises(ValueError):
-        splitting.allocate_groups(pareto(), ratios)
+        splitting.allocate_groups(ladder(), ratios)
 
 
 def test_too_few_groups():
@@ -42,7 +50,7 @@ def test_too_few_groups():
 
 @pytest.fixture(scope="module")
 def chained(spark):
-    rows = [(f"s{p}_{k}", f"p{p}", f"u{k % 3}", "AB"[k % 2]) for p in range(200) for k in range(12)]
+    rows = [(f"s{p}_{k}", f"p{p}", f"u{k % 4}", "AB"[k % 2]) for p in range(90) for k in range(p % 17 + 9)]
     return spark.createDataFrame([*rows, ("s_null", None, "u", "A")], "submission_id string, problem_id string, user_id string, label string")
 
 
@@ -59,7 +67,7 @@ def test_group_split(spark, chained):
         splitting.assert_disjoint(planted, "problem_id")
     summary = splitting.split_summary(out, "label", ("B", "A"))
     assert summary.columns == ["ord", "split", "rows", "pct", "B", "A"]
-    assert sum(r.rows for r in summary.collect()) == 2400
+    assert sum(r.rows for r in summary.collect()) == chained.where("problem_id is not null").count()
 
 
 def test_random_split_counts_and_leaks(spark, chained):
