@@ -16,7 +16,8 @@ A line is the set of its words. Two lines match when their Jaccard similarity is
    partial aggregation (in each of ``HEADS`` shares), so a large group of variants costs a few
    pairs a member. Of a class's partners the likest by bitmap is verified on the whole sets.
 5. In a second pass, classes with further partners, if that one fails, meet all holders of their
-   words, and unmatched ones all holders of their common words; all these pairs are verified.
+   rare words, and all unmatched ones all holders of their common words, each pair at its first
+   common word only; all these pairs are verified.
 """
 
 from __future__ import annotations
@@ -98,17 +99,18 @@ class _Lines:
         classes = self.placed.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
         self.classes = scratch.keep(classes, "classes", hashes=True)
 
-    def entries(self, classes: DataFrame, part: str = "all") -> DataFrame:
+    def entries(self, classes: DataFrame, part: str = "all", prefix: bool = False) -> DataFrame:
         """Prefix words of every class, with the class's place and what the filters need.
 
         ``part``: "head" has those that a set at least as large must share, "tail" the rest.
+        ``prefix``: each carries them all, as p.
         """
         head = F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)).cast("int") + 1
         first = F.greatest(head, F.lit(0)) if part == "tail" else F.lit(0)
         held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p"))}[part]
         at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(first)
-        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more")
-        spread = spread.select("t", "id", "line", "c", (F.col("at") + F.col("pos")).alias("at"), "bits", "more")
+        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", *["p"] * prefix)
+        spread = spread.select("t", "id", "line", "c", (F.col("at") + F.col("pos")).alias("at"), "bits", "more", *["p"] * prefix)
         # (nothing is null; said here so that joins by unlike conditions read one shuffle)
         return spread.where("t is not null and id is not null and at is not null")
 
@@ -153,6 +155,7 @@ class _Lines:
         score = F.shiftleft(F.floor(1000 * differ / (x_size + y_size)).cast("long"), 44)
         pair = c.alias("c"), e.alias("e"), score.bitwiseOR(e.bitwiseAND(2**44 - 1)).alias("score")
         every = self.entries(self.classes)
+        cold = every.where(F.col("t") < self.hot_from)
         # two sets share a word of the smaller one's head and the larger one's prefix
         heads, tails = (self.entries(self.classes, part).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
         met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & alike & later).select(*pair)
@@ -163,21 +166,28 @@ class _Lines:
         led = hot.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
         first = scratch.keep(met.union(met_tail).union(led).groupBy("c").agg(F.min_by("e", "score").alias("e"), (F.min("e") < F.max("e")).alias("many")), "first-pairs")
         matched = self.verified(first.select("c", "e"), "first")
-        # what is left: all words of classes with further partners, common words of all others
+        # what is left: rare words of classes with further partners, common words of all
         known = scratch.small(matched.withColumn("done", F.lit(True)), "first")
         failed = scratch.keep(first.where("many").join(known, "c", "left").where("done is null").select("c", F.lit(True).alias("failed")), "failed")
         open_ = self.classes.join(known, "c", "left").where("done is null").join(scratch.small(failed, "failed"), "c", "left")
-        asks = open_.where(F.col("failed") | (F.element_at("p", -1) >= self.hot_from)).select("c", "n", "bits", "more", "first", F.when(F.col("failed"), F.col("p")).otherwise(F.filter("p", lambda t: t >= self.hot_from)).alias("q"), "p").where(F.size("q") > 0)
-        asked = asks.select("c", "n", "bits", "more", "first", F.explode("q").alias("t"), (F.array_position("p", F.col("t")) - 1).alias("pos"))
-        asked = scratch.keep(asked.select("t", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("at"), "bits", "more"), "asked")
-        late = every.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2]).distinct()
+        asked = scratch.keep(self.entries(open_.where("failed")).where(F.col("t") < self.hot_from), "asked")
+        late = cold.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2])
+        # common words: a pair meets at its first common word only, before which there is none to count
+        hot_classes = F.element_at("p", -1) >= self.hot_from
+        common = self.entries(self.classes.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from)
+        asked_hot = scratch.keep(self.entries(open_.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from), "asked-hot")
+        left = F.least(*(F.shiftright(F.col(f"{side}.at"), 32) - F.col(f"{side}.at").bitwiseAND(0x7FFFFFFF) for side in "xy"))
+        enough = (100 + self.percent) * left >= self.percent * (x_size + y_size)
+        opens = F.get(F.array_intersect("x.p", "y.p"), F.lit(0)) == F.col("x.t")
+        late_hot = common.alias("y").join(scratch.small(asked_hot, "asked-hot").alias("x"), same & enough & alike & later & opens).select(*pair[:2])
+        late = late.union(late_hot).distinct()
         late = scratch.keep(late.join(first, ["c", "e"], "left_anti"), "late-pairs")
         gone = matched.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True))
         judged = self.classes.join(gone, "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
         judged = scratch.small(scratch.keep(judged, "judged"), "judged")
         lost = self.placed.select("id", "th", "line", "c", "n", "bits", "more").join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
         lost = scratch.keep(lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lost")
-        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "late-pairs", "late", "judged")
+        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "asked-hot", "late-pairs", "late", "judged")
         return scratch.small(lost, "lost")
 
 
