@@ -73,7 +73,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Tokenizing, a fitted classifier and connected components are beyond SQL; a test replays the stages by brute force.
+#: Tokenizing, a fitted classifier and connected components are beyond SQL; tests hold line dedup and near-copies
+#: against brute force, and the other stages to what they promise.
 ORACLE_SQL = None
 
 
