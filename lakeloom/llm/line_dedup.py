@@ -84,7 +84,8 @@ class _Lines:
         common = max(HOT, HOT_TIMES * sum(counts) // buckets)
         self.hot_from = min((sum(k < common for k in counts) - buckets // 2) << 64 - BUCKET_BITS, LAST)
         of_bucket = F.split(F.lit(",".join(map(str, places))), ",").cast("array<bigint>")
-        key = lambda h: F.get(of_bucket, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
+        # (never null, and said so: arrays without nulls are sorted as primitive values)
+        key = lambda h: F.coalesce(F.get(of_bucket, bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
 
         lines = self.texts.select("id", "th", F.posexplode(F.split("said", "\n")).alias("line", "words"))
         hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
