@@ -137,12 +137,13 @@ class _Lines:
         told = lambda all_: F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), F.get(all_, x["line"]).alias("words")))
         # (the inner array holds the lines, so that they are cut once a text and not once a line)
         found = self.texts.join(wanted, ["id", "th"]).select(F.explode(F.flatten(F.transform(F.array(F.split("said", "\n")), told))).alias("s"))
-        sets = scratch.keep(found.select("s.c", line_words(F.col("s.words")).alias("w")).dropDuplicates(["c"]), f"{name}-sets")
+        # rows that repeat give a set twice; one shuffle by class makes them distinct and serves both joins
+        sets = found.select("s.c", line_words(F.col("s.words")).alias("w")).dropDuplicates(["c"])
         right = sets.select(F.col("c").alias("e"), F.col("w").alias("v"))
         both = F.size(F.array_intersect("w", "v"))
         matched = pairs.join(sets, "c").join(right, "e").where(100 * both >= self.percent * (F.size("w") + F.size("v") - both)).select("c").distinct()
         matched = scratch.keep(matched, name)
-        scratch.drop(f"{name}-wanted", f"{name}-sets")
+        scratch.drop(f"{name}-wanted")
         return matched
 
     def removed(self) -> DataFrame:
