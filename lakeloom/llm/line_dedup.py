@@ -156,14 +156,15 @@ class _Lines:
         # the order of partners: by the share of words that differ, then by hash
         score = F.shiftleft(F.floor(1000 * differ / (x_size + y_size)).cast("long"), 44)
         pair = c.alias("c"), e.alias("e"), score.bitwiseOR(e.bitwiseAND(2**44 - 1)).alias("score")
-        every = self.entries(self.classes)
-        cold = every.where(F.col("t") < self.hot_from)
-        # two sets share a word of the smaller one's head and the larger one's prefix
+        cold = self.entries(self.classes).where(F.col("t") < self.hot_from)
+        # two sets share a word of the smaller one's head and the larger one's prefix, sets of one size a word of both heads
         heads, tails = (self.entries(self.classes, part).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
         met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & alike & later).select(*pair)
         first, last = F.when(later, e).otherwise(c), F.when(later, c).otherwise(e)
-        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size >= y_size) & alike).select(last.alias("c"), first.alias("e"), score.bitwiseOR(first.bitwiseAND(2**44 - 1)).alias("score"))
-        hot = every.where(F.col("t") >= self.hot_from)
+        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size > y_size) & alike).select(last.alias("c"), first.alias("e"), score.bitwiseOR(first.bitwiseAND(2**44 - 1)).alias("score"))
+        # (keys ascend, so the last one tells whether a class has a common word)
+        hot_classes = F.element_at("p", -1) >= self.hot_from
+        hot = self.entries(self.classes.where(hot_classes)).where(F.col("t") >= self.hot_from)
         firsts = hot.groupBy("t", F.pmod(F.hash("c"), F.lit(HEADS))).agg(F.min(F.struct("id", "line", "c", "at", "bits", "more")).alias("e")).select("t", "e.*")
         led = hot.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
         first = scratch.keep(met.union(met_tail).union(led).groupBy("c").agg(F.min_by("e", "score").alias("e"), (F.min("e") < F.max("e")).alias("many")), "first-pairs")
@@ -175,7 +176,6 @@ class _Lines:
         asked = scratch.keep(self.entries(open_.where("failed")).where(F.col("t") < self.hot_from), "asked")
         late = cold.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2])
         # common words: a pair meets at its first common word only, before which there is none to count
-        hot_classes = F.element_at("p", -1) >= self.hot_from
         common = self.entries(self.classes.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from)
         asked_hot = scratch.keep(self.entries(open_.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from), "asked-hot")
         left = F.least(*(F.shiftright(F.col(f"{side}.at"), 32) - F.col(f"{side}.at").bitwiseAND(0x7FFFFFFF) for side in "xy"))
