@@ -65,15 +65,16 @@ def private_names(columns: list[str], *names: str) -> list[str]:
 
 
 class _Lines:
-    """The lines of ``docs``: id, th (hash of the text), said (text)."""
+    """The lines of ``docs``: id, th (hash of the text), text."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int, least_words: int, id_col: str, text_col: str):
         self.scratch, self.percent = scratch, percent
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        self.texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), plain(text).alias("said"))
+        self.texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        said = plain(F.col("text"))
         buckets = 1 << BUCKET_BITS
         bucket = lambda h: h.bitwiseAND(buckets - 1).cast("int")
-        counted = self.texts.select(F.explode(F.split(F.replace("said", F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
+        counted = self.texts.select(F.explode(F.split(F.replace(said, F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
         dense = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")).union(counted).groupBy("b").agg(F.sum("k").alias("k"))
         # one row of as many counts as buckets, and from it a constant of the plan: of fixed size
         counts = dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.col("all.k").alias("k")).first().k
@@ -87,7 +88,7 @@ class _Lines:
         # (never null, and said so: arrays without nulls are sorted as primitive values)
         key = lambda h: F.coalesce(F.get(of_bucket, bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
 
-        lines = self.texts.select("id", "th", F.posexplode(F.split("said", "\n")).alias("line", "words"))
+        lines = self.texts.select("id", "th", F.posexplode(F.split(said, "\n")).alias("line", "words"))
         hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
         keyed = lines.select("id", "th", "line", F.array_remove(F.sort_array(F.array_distinct(F.transform(hashes, key))), key(F.xxhash64(F.lit("")))).alias("w"))
         n = F.size("w")
@@ -136,7 +137,7 @@ class _Lines:
         wanted = scratch.small(scratch.keep(wanted, f"{name}-wanted"), f"{name}-wanted")
         told = lambda all_: F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), F.get(all_, x["line"]).alias("words")))
         # (the inner array holds the lines, so that they are cut once a text and not once a line)
-        found = self.texts.join(wanted, ["id", "th"]).select(F.explode(F.flatten(F.transform(F.array(F.split("said", "\n")), told))).alias("s"))
+        found = self.texts.join(wanted, ["id", "th"]).select(F.explode(F.flatten(F.transform(F.array(F.split(plain(F.col("text")), "\n")), told))).alias("s"))
         # rows that repeat give a set twice; one shuffle by class makes them distinct and serves both joins
         sets = found.select("s.c", line_words(F.col("s.words")).alias("w")).dropDuplicates(["c"])
         right = sets.select(F.col("c").alias("e"), F.col("w").alias("v"))
@@ -171,9 +172,9 @@ class _Lines:
         matched = self.verified(first.select("c", "e"), "first")
         # what is left: rare words of classes with further partners, common words of all
         known = scratch.small(matched.withColumn("done", F.lit(True)), "first")
-        failed = scratch.keep(first.where("many").join(known, "c", "left").where("done is null").select("c", F.lit(True).alias("failed")), "failed")
-        open_ = self.classes.join(known, "c", "left").where("done is null").join(scratch.small(failed, "failed"), "c", "left")
-        asked = scratch.keep(self.entries(open_.where("failed")).where(F.col("t") < self.hot_from), "asked")
+        failed = scratch.keep(first.where("many").join(known, "c", "left").where("done is null").select("c"), "failed")
+        open_ = self.classes.join(known, "c", "left").where("done is null")
+        asked = scratch.keep(self.entries(self.classes.join(scratch.small(failed, "failed"), "c")).where(F.col("t") < self.hot_from), "asked")
         late = cold.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2])
         # common words: a pair meets at its first common word only, before which there is none to count
         common = self.entries(self.classes.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from)
