@@ -112,7 +112,8 @@ class _Lines:
         held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p"))}[part]
         at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(first)
         spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", *["p"] * prefix)
-        spread = spread.select("t", "id", "line", "c", (F.col("at") + F.col("pos")).alias("at"), "bits", "more", *["p"] * prefix)
+        # (hashes first, small numbers after them: such rows compress better)
+        spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") + F.col("pos")).alias("at"), "more", *["p"] * prefix)
         # (nothing is null; said here so that joins by unlike conditions read one shuffle)
         return spread.where("t is not null and id is not null and at is not null")
 
@@ -132,8 +133,8 @@ class _Lines:
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """(c) of the later classes of the pairs (c, e) that match, by the whole sets of just these classes."""
         scratch = self.scratch
-        named = pairs.select("c").union(pairs.select("e")).distinct()
-        wanted = named.join(self.classes.select("c", "first"), "c").groupBy("first.id", "first.th").agg(F.collect_set(F.struct("first.line", "c")).alias("wanted"))
+        named = scratch.keep(pairs.select("c").union(pairs.select("e")).distinct(), f"{name}-named", hashes=True)
+        wanted = self.classes.select("c", "first").join(scratch.small(named, f"{name}-named"), "c").groupBy("first.id", "first.th").agg(F.collect_set(F.struct("first.line", "c")).alias("wanted"))
         wanted = scratch.small(scratch.keep(wanted, f"{name}-wanted"), f"{name}-wanted")
         told = lambda all_: F.transform("wanted", lambda x: F.struct(x["c"].alias("c"), F.get(all_, x["line"]).alias("words")))
         # (the inner array holds the lines, so that they are cut once a text and not once a line)
@@ -144,7 +145,7 @@ class _Lines:
         both = F.size(F.array_intersect("w", "v"))
         matched = pairs.join(sets, "c").join(right, "e").where(100 * both >= self.percent * (F.size("w") + F.size("v") - both)).select("c").distinct()
         matched = scratch.keep(matched, name)
-        scratch.drop(f"{name}-wanted")
+        scratch.drop(f"{name}-named", f"{name}-wanted")
         return matched
 
     def removed(self) -> DataFrame:
@@ -185,12 +186,12 @@ class _Lines:
         late_hot = common.alias("y").join(scratch.small(asked_hot, "asked-hot").alias("x"), same & enough & alike & later & opens).select(*pair[:2])
         late = late.union(late_hot).distinct()
         late = scratch.keep(late.join(first, ["c", "e"], "left_anti"), "late-pairs")
-        gone = matched.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True))
-        judged = self.classes.join(gone, "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
+        gone = scratch.keep(matched.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True)), "gone", hashes=True)
+        judged = self.classes.join(scratch.small(gone, "gone"), "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
         judged = scratch.small(scratch.keep(judged, "judged"), "judged")
         lost = self.placed.select("id", "th", "line", "c", "n", "bits", "more").join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
         lost = scratch.keep(lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lost")
-        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "asked-hot", "late-pairs", "late", "judged")
+        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "asked-hot", "late-pairs", "late", "gone", "judged")
         return scratch.small(lost, "lost")
 
 
