@@ -339,7 +339,8 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     more = met.select("doc", "e_doc", "a0", "a1", b0.alias("b0"), b1.alias("b1"), steps.alias("a_at"), F.transform(steps, lambda p: p - F.col("off")).alias("b_at"))
     passages = passages.union(aligned(more, "more")).distinct()
     scratch.drop("own", "runs")
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    whole = copies.join(rows.select(F.col("doc"), words.alias("n")), "doc").where(F.col("n") >= least_words)
+    # (a count that names both sides of the join is made after it, for the copies alone)
+    words = F.when(F.col("doc") > F.col("first"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    whole = rows.join(scratch.small(copies, "copies"), "doc").select("doc", "first", words.alias("n")).where(F.col("n") >= least_words)
     zero = F.lit(0).cast("long")
     return passages.unionByName(whole.select(F.col("doc").alias("doc_id"), zero.alias("start_word"), F.col("n").alias("end_word"), F.col("first").alias("source_doc_id"), zero.alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("identity")))
