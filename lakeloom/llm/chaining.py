@@ -329,7 +329,9 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     own = scratch.keep(own.join(spans, F.col("doc") == F.col("doc_id"), "left").select("doc", "shared", "spans"), "own")
     scratch.drop("shared")
     small = scratch.small(own, "own")
-    runs = scratch.keep(rows.join(small, "doc").select("doc", "text", "shared", "spans").mapInArrow(textvec.frugal(_runs(least_words)), "run long, doc long, at int, open boolean"), "runs")
+    # beyond that size texts are shuffled, then only those of documents in it
+    named = scratch.small(scratch.keep(own.select("doc"), "own-ids", hashes=True), "own-ids")
+    runs = scratch.keep(rows.join(named, "doc", "left_semi").join(small, "doc").select("doc", "text", "shared", "spans").mapInArrow(textvec.frugal(_runs(least_words)), "run long, doc long, at int, open boolean"), "runs")
     holder = runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("run", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
     met = runs.where("open").join(holder, "run").where("doc > e_doc").select("doc", "e_doc", "at", (F.col("at") - F.col("e_at")).alias("off"))
     # runs that follow each other word by word on one diagonal are one chain
@@ -339,7 +341,7 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     steps = F.array_distinct(F.concat(F.sequence(F.col("a0"), F.greatest("a0", tail), F.lit(K)), F.array(F.greatest("a0", tail))))
     more = met.select("doc", "e_doc", "a0", "a1", b0.alias("b0"), b1.alias("b1"), steps.alias("a_at"), F.transform(steps, lambda p: p - F.col("off")).alias("b_at"))
     passages = passages.union(aligned(more, "more")).distinct()
-    scratch.drop("own", "runs")
+    scratch.drop("own", "own-ids", "runs")
     # (a count that names both sides of the join is made after it, for the copies alone)
     words = F.when(F.col("doc") > F.col("first"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
     whole = rows.join(scratch.small(copies, "copies"), "doc").select("doc", "first", words.alias("n")).where(F.col("n") >= least_words)
