@@ -103,6 +103,10 @@ def chain(later: np.ndarray, earlier: np.ndarray) -> list[list[int]]:
     over more than ``GAP`` words in either text ends the chain.
     """
     order = np.lexsort((earlier, later))
+    steps = np.diff(later[order])
+    if (np.diff(earlier[order]) == steps).all() and (steps > 0).all():
+        # one diagonal: the best predecessor is the one just before, so chains end at wide gaps only
+        return [c.tolist() for c in np.split(order, np.flatnonzero(steps > GAP + K) + 1)]
     a, b = later[order].tolist(), earlier[order].tolist()
     ranks = {p: k for k, p in enumerate(sorted(set(b)))}
     tree = _Fenwick(len(ranks))
@@ -151,15 +155,21 @@ def _chains(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array([key[0].as_py()] * len(rows), pa.int64()), "e_doc": pa.array([key[1].as_py()] * len(rows), pa.int64()), **{n: pa.array(c, t) for n, c, t in zip(("a0", "a1", "b0", "b1", "a_at", "b_at"), cols, (pa.int32(),) * 4 + (ints,) * 2, strict=True)}})
 
 
-def align(x: np.ndarray, y: np.ndarray) -> int:
-    """Words that a best alignment of two short stretches matches (longest common subsequence)."""
-    if not len(x) or not len(y):
+def align(x: list[int], y: list[int]) -> int:
+    """Words that a best alignment of two short stretches matches (longest common subsequence).
+
+    A row of the table is one number: bit j is 0 where column j + 1 is greater than column j.
+    """
+    if not x or not y:
         return 0
-    row = np.zeros(len(y) + 1, np.int64)
+    places: dict[int, int] = {}
+    for j, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << j
+    every = row = (1 << len(y)) - 1
     for w in x:
-        up = np.where(y == w, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(up, row[1:]))
-    return int(row[-1])
+        equal = row & places.get(w, 0)
+        row = (row + equal | row - equal) & every
+    return len(y) - row.bit_count()
 
 
 def extend(x: list[int], y: list[int]) -> tuple[int, int, int]:
@@ -245,13 +255,14 @@ def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], identity:
 
     Ends that would make it less alike than ``identity`` are left off.
     """
+    # (word by word, Python's own numbers are read faster than an array's)
+    x, y = x.tolist(), y.tolist()
     same = K
     for a1, b1, a2, b2 in zip(a, b, a[1:], b[1:], strict=False):
         straight = a2 - a1 == b2 - b1 and a2 - a1 <= K
         same += a2 - a1 if straight else align(x[a1 + K : a2 + K], y[b1 + K : b2 + K])
-    # (word by word, Python's own numbers are read faster than an array's)
-    front = extend(x[: a[0]][::-1].tolist(), y[: b[0]][::-1].tolist())
-    back = extend(x[a[-1] + K :].tolist(), y[b[-1] + K :].tolist())
+    front = extend(x[: a[0]][::-1], y[: b[0]][::-1])
+    back = extend(x[a[-1] + K :], y[b[-1] + K :])
     none = (0, 0, 0)
     for f, g in sorted(((front, back), (front, none), (none, back), (none, none)), key=lambda e: -e[0][0] - e[1][0]):
         span = a[0] - f[0], a[-1] + K + g[0], b[0] - f[1], b[-1] + K + g[1], same + f[2] + g[2]
