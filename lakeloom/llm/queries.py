@@ -13,6 +13,7 @@ from lakeloom.llm.chat import digests, format_conversations
 from lakeloom.llm.jaccard_join import jaccard_components
 from lakeloom.llm.lattice import embedding_links
 from lakeloom.llm.line_dedup import dedup_lines
+from lakeloom.llm.merkle import tamper_report
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.syncmers import fingerprint_report
@@ -67,6 +68,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(extra)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -79,13 +84,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = r"(len(said) + len(regexp_replace(said, '[^␛<\[]', '', 'g')))"
 
+_FIELD = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+  lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees of ``leaves`` (g, i, h, n), and the siblings on the way of each leaf."""
+    return f"""{name} AS (SELECT 0 AS lv, g, i, h, n FROM {leaves}
+  UNION ALL SELECT lv + 1, g, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY lv, g, i // 3, n),
+{name}_sib AS (SELECT lv, g, i, coalesce(string_agg(h, '') OVER (PARTITION BY lv, g, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY lv, g, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
 _SQL = {
+    "op11_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} & 1 = 1 THEN {_LEAF("replace(text, chr(10), '')")} ELSE {_LEAF("text")} END AS now FROM documents),
+leaves AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n, doc_id, now FROM d),
+{_tree("t", "leaves")},
+subs AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, g AS source FROM t WHERE n = 1),
+{_tree("u", "subs")},
+way AS (SELECT a.g AS source, a.i, s.lv, s.l, s.r FROM leaves a JOIN t_sib s ON s.g IS NOT DISTINCT FROM a.g AND s.i = a.i // CAST(pow(3, s.lv) AS BIGINT)
+  UNION ALL SELECT a.g, a.i, 100 + s.lv, s.l, s.r FROM leaves a JOIN subs b ON b.source IS NOT DISTINCT FROM a.g JOIN u_sib s ON s.i = b.i // CAST(pow(3, s.lv) AS BIGINT)),
+proof AS (SELECT source, i, string_agg(l || r, '' ORDER BY lv) AS p FROM way GROUP BY source, i),
+steps AS (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY lv) AS k FROM way),
+folding AS (SELECT g AS source, i, CAST(0 AS BIGINT) AS k, now AS h FROM leaves
+  UNION ALL SELECT f.source, f.i, s.k, sha256(s.l || f.h || s.r) FROM folding f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.i = f.i AND s.k = f.k + 1),
+folded AS (SELECT source, i, arg_max(h, k) AS h FROM folding GROUP BY source, i)
+SELECT a.doc_id, a.h AS leaf, b.h AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves a JOIN subs b ON b.source IS NOT DISTINCT FROM a.g JOIN folded f ON f.source IS NOT DISTINCT FROM a.g AND f.i = a.i LEFT JOIN proof q ON q.source IS NOT DISTINCT FROM a.g AND q.i = a.i CROSS JOIN (SELECT h AS root FROM u WHERE n = 1) z""",
     "op5_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
