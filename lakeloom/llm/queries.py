@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.chaining import repeated_passages
 from lakeloom.llm.chat import digests, format_conversations
+from lakeloom.llm.collocations import collocations
 from lakeloom.llm.jaccard_join import jaccard_components
 from lakeloom.llm.lattice import embedding_links
 from lakeloom.llm.line_dedup import dedup_lines
@@ -72,6 +73,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -133,6 +139,17 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS there FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.there),
 c AS (SELECT vec_id, min(there) AS component_id FROM r GROUP BY vec_id)
 SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, component_id = c.vec_id AS kept FROM c""",
+    "op13_phrase_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM i, range(1, 6) t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+tot AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang), g AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE f >= 100),
+c AS (SELECT lang, k, phrase, f AS a, ws, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.f AS l, y.f AS r, CAST(n AS BIGINT) AS n, CAST(1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ') JOIN tot ON tot.lang = c.lang),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+held AS (SELECT DISTINCT low.lang, low.phrase FROM low JOIN g ON g.lang = low.lang AND g.k > low.k AND contains(' ' || g.phrase || ' ', ' ' || low.phrase || ' ') AND 100 * g.f >= 100 * low.a WHERE nth = 1),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low ANTI JOIN held USING (lang, phrase) WHERE nth = 1)
+SELECT * FROM r WHERE rank <= 2000""",
     "op10_chat_formatting": rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
   UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) x(k)),
 m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, said) IS DISTINCT FROM role AS opens FROM t)
