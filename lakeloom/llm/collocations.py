@@ -1,21 +1,21 @@
 """Phrase collocations, mined level by level: a phrase is counted only where both phrases one word shorter are frequent.
 
 Level tables (lang, phrase, f) hold every frequent phrase of 1 to ``longest`` words with its exact
-count. While they fit ``MOST_BYTES`` they are broadcast and texts are counted in NumPy: words become
-numbers, a phrase becomes its place in the sorted level table, and a longer phrase the pair of its two
-overlapping parts, so a count is over 64-bit keys that tell phrases apart exactly. Each task adds up
-its keys before they are shuffled. Beyond that size the same level is counted by joins with the level
+count. While they fit ``MOST_BYTES`` they are broadcast and counted in NumPy: texts are written once as
+numbers of frequent words, a phrase becomes its place in the sorted level table, and a longer phrase
+the pair of its two overlapping parts, so a count is over 64-bit keys that tell phrases apart exactly.
+Each task adds up its keys before they are shuffled. Beyond that size the same level is counted by joins with the level
 table. Phrases are then cut and scored from the level tables alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,57 +36,98 @@ BREAK = ENDS[:1]
 _PLAIN = bytes.maketrans(ENDS + b"\t", BREAK * len(ENDS) + b" ")
 
 
-def _chunks(texts: Iterable[bytes], carry: int) -> Iterator[list[bytes]]:
-    """Words of all texts, with ``BREAK`` between pieces, about ``CHUNK`` bytes at a time.
+def _retyped(array: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The same bytes as string or binary; nothing is checked, so any bytes pass."""
+    return pa.Array.from_buffers(kind, len(array), array.buffers(), offset=array.offset)
 
-    Of a text cut between two words the last ``carry`` of them start the next chunk, so each run of
-    carry + 1 words is in exactly one chunk.
+
+def _words(parts: list[bytes]) -> pa.Array:
+    """Words of plain text in order, with ``BREAK`` between pieces."""
+    whole = b"".join(parts).replace(BREAK, b" " + BREAK + b" ").strip(b" ")
+    one = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(whole)], np.int32)), pa.py_buffer(whole)])
+    words = pc.ascii_split_whitespace(one).flatten()
+    return words if whole else words[:0]
+
+
+def _chunks(texts: Iterable[bytes], carry: int) -> Iterator[tuple[int, pa.Array]]:
+    """(carried, words) of all texts, some ``CHUNK`` bytes at a time.
+
+    Where a text is cut, between two words, the last ``carry`` of them stand again before the next
+    chunk, as ``carried`` says; so each run of carry + 1 words is in exactly one chunk.
     """
-    words: list[bytes] = []
-    size = 0
+    parts: list[bytes] = []
+    size = carried = 0
     for text in texts:
         plain = text.lower().translate(_PLAIN)
         at = 0
         while at < len(plain):
             end = len(plain)
             if size + end - at > CHUNK:
-                blank, stop = plain.find(b" ", at + max(CHUNK - size, 0)), plain.find(BREAK, at + max(CHUNK - size, 0))
-                end = min(x if x >= 0 else end for x in (blank, stop))
-            words += plain[at:end].replace(BREAK, b" . ").split()
+                found = (plain.find(x, at + max(CHUNK - size, 0)) for x in (b" ", BREAK))
+                end = min(x if x >= 0 else end for x in found)
+            parts.append(plain[at:end])
             size, at = size + end - at, end
             if size >= CHUNK:
-                yield words
-                words, size = words[-carry:] if carry else [], 0
-        words.append(BREAK)
-    if words:
-        yield words
+                words = _words(parts)
+                yield carried, words
+                tail = _retyped(words[max(len(words) - carry, 0) :], pa.binary()).to_pylist() if at < len(plain) else []
+                parts, size, carried = [w + b" " for w in tail], 0, len(tail)
+        parts.append(BREAK)
+    if parts:
+        yield carried, _words(parts)
 
 
-def _by_lang(batches: Iterable[pa.RecordBatch], carry: int) -> Iterator[tuple[str, list[bytes]]]:
+def _by_lang(batches: Iterable[pa.RecordBatch], carry: int) -> Iterator[tuple[str, int, pa.Array]]:
     for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
         texts = defaultdict(list)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             texts[lang].append(text)
         for lang, mine in texts.items():
-            for words in _chunks(mine, carry):
-                yield lang, words
+            for carried, words in _chunks(mine, carry):
+                yield lang, carried, words
 
 
-def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, c) of single words; the null phrase counts all words."""
-    found: dict[str, Counter] = defaultdict(Counter)
+class Sums:
+    """Counts per language and key, added up in a bounded number of rows; ``full`` and ``told`` hand them on."""
+
+    def __init__(self):
+        self.found: dict[str, list[pa.Table]] = defaultdict(list)
+        self.rows = 0
 
-    def told() -> Iterator[pa.RecordBatch]:
-        for lang, counts in found.items():
-            counts.pop(BREAK, None)
-            yield pa.record_batch([pa.array([lang] * (len(counts) + 1), pa.string()), pa.array([None, *counts], pa.binary()), pa.array([sum(counts.values()), *counts.values()], pa.int64())], ["lang", "phrase", "c"])
-        found.clear()
+    def add(self, lang: str, keys: pa.Array, counts: pa.Array) -> None:
+        self.found[lang].append(pa.table([keys, counts], ["key", "c"]))
+        self.rows += len(keys)
 
-    for lang, words in _by_lang(batches, 0):
-        found[lang].update(words)
-        if sum(map(len, found.values())) > HELD:
-            yield from told()
-    yield from told()
+    def _merged(self) -> dict[str, pa.Table]:
+        return {lang: pa.concat_tables(parts).group_by("key", use_threads=False).aggregate([("c", "sum")]) for lang, parts in self.found.items()}
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        """Hands the sums on if they are too many."""
+        if self.rows > 2 * HELD:
+            merged = self._merged()
+            self.found = defaultdict(list, {lang: [t.rename_columns(["key", "c"])] for lang, t in merged.items()})
+            self.rows = sum(t.num_rows for t in merged.values())
+            if self.rows > HELD:
+                yield from self.told()
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        for lang, table in self._merged().items():
+            keys, counts = (table.column(k).combine_chunks() for k in (0, 1))
+            keys = _retyped(keys, pa.binary()) if keys.type == pa.string() else keys
+            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), keys, counts], ["lang", "key", "c"])
+        self.found.clear()
+        self.rows = 0
+
+
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, c) of single words."""
+    sums = Sums()
+    for lang, _, words in _by_lang(batches, 0):
+        counts = pc.value_counts(words)
+        word = pc.and_(pc.not_equal(counts.field(0), BREAK.decode()), pc.not_equal(counts.field(0), ""))
+        sums.add(lang, counts.field(0).filter(word), counts.field(1).filter(word))
+        yield from sums.full()
+    yield from sums.told()
 
 
 class Lexicon:
@@ -94,6 +135,7 @@ class Lexicon:
 
     def __init__(self, levels: list[list[bytes]]):
         self.words = sorted(levels[0])
+        self.listed = _retyped(pa.array(self.words, pa.binary()), pa.string())
         self.keys: list[np.ndarray] = []  # of levels 2, 3, ...
         number = {w: k for k, w in enumerate(self.words)}
         for phrases in levels[1:]:
@@ -110,10 +152,14 @@ class Lexicon:
             grams = [np.searchsorted(self.keys[level - 2], a * self.size(level - 1) + b) for a, b in zip(grams, grams[1:], strict=False)]
         return grams[0]
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words, -1 for others."""
+        return pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy(zero_copy_only=False)
+
     def pairs(self, words: np.ndarray) -> np.ndarray:
         """Keys of the phrases one word longer than the last level whose two parts both are in it; ``words`` has -1 for others."""
         at = np.flatnonzero(words >= 0)
-        grams = words[at]
+        grams = words[at].astype(np.int64)
         for level in range(1, len(self.keys) + 2):
             next_to = np.flatnonzero(np.diff(at) == 1)
             keys = grams[next_to] * self.size(level) + grams[next_to + 1]
@@ -154,39 +200,34 @@ def _lexicons(name: str, levels) -> dict[str, Lexicon]:
     return _KNOWN[name]
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+def _encoder(name: str, levels, carry: int):
+    """(lang, carried, numbers) of each chunk of text: its words' numbers, runs of other words told as one -1."""
 
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _lexicons(name, levels)
+        for lang, carried, words in _by_lang(batches, carry):
+            if lang not in known:
+                continue
+            numbers = known[lang].numbers(words).astype(np.int32)
+            told = numbers >= 0
+            told[1:] |= numbers[:-1] >= 0
+            told[: carried + 1] = True
+            yield pa.record_batch([pa.array([lang]), pa.array([carried], pa.int32()), pa.array([numbers[told].tobytes()], pa.binary())], ["lang", "carried", "numbers"])
 
-def _counter(name: str, levels, k: int):
-    """(lang, key, c) of phrases of ``k`` words whose parts are frequent."""
+    return encode
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lexicons(name, levels)
-        numbers = {lang: {w: n for n, w in enumerate(x.words)} for lang, x in known.items()}
-        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        waiting = 0
 
-        def told(lang: str) -> pa.RecordBatch:
-            keys, counts = _merged(found.pop(lang))
-            return pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "key", "c"])
+def _counter(name: str, levels, k: int):
+    """(lang, key, c) of phrases of ``k`` words whose parts are frequent, over chunks of word numbers."""
 
-        for lang, words in _by_lang(batches, k - 1):
-            if lang not in known:
-                continue
-            told_words = np.fromiter(map(numbers[lang].get, words, repeat(-1)), np.int64, len(words))
-            keys, counts = np.unique(known[lang].pairs(told_words), return_counts=True)
-            found[lang].append((keys, counts))
-            waiting += len(keys)
-            if waiting > 2 * HELD:
-                for x in list(found):
-                    found[x] = [_merged(found[x])]
-                waiting = sum(len(x[0][0]) for x in found.values())
-                if waiting > HELD:
-                    yield from map(told, list(found))
-                    waiting = 0
-        yield from map(told, list(found))
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sums = _lexicons(name, levels), Sums()
+        for batch in batches:
+            for lang, carried, numbers in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+                keys, counts = np.unique(known[lang].pairs(np.frombuffer(numbers, np.int32)[max(carried - (k - 1), 0) :]), return_counts=True)
+                sums.add(lang, pa.array(keys, pa.int64()), pa.array(counts, pa.int64()))
+                yield from sums.full()
+        yield from sums.told()
 
     return count
 
@@ -237,10 +278,12 @@ def phrase_levels(texts: DataFrame, scratch: Scratch, longest: int = LONGEST, le
     spark = texts.sparkSession
     texts = texts.select("lang", F.col("text").cast("binary").alias("text"))
     as_text = lambda df: df.withColumn("phrase", F.col("phrase").cast("string"))
-    words = texts.mapInArrow(_count_words, "lang string, phrase binary, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-    first = scratch.keep(as_text(words.where(F.col("phrase").isNull() | (F.col("f") >= least))), "level-1")
-    totals = first.where("phrase is null").select("lang", F.col("f").alias("n"))
-    levels, told, held = [first.where("phrase is not null")], [], 0
+    words = texts.mapInArrow(_count_words, "lang string, key binary, c long")
+    all_words = F.when(F.col("f") < least, None).otherwise(F.col("phrase"))  # rare ones go on as one sum
+    counted = words.groupBy("lang", F.col("key").alias("phrase")).agg(F.sum("c").alias("f")).groupBy("lang", all_words.alias("phrase")).agg(F.sum("f").alias("f"))
+    first = scratch.keep(as_text(counted), "level-1")
+    totals = first.groupBy("lang").agg(F.sum("f").alias("n"))
+    levels, told, held, encoded = [first.where("phrase is not null")], [], 0, None
     for k in range(2, longest + 1):
         size = levels[-1].agg(F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0))).first()[0]
         held += size
@@ -250,7 +293,9 @@ def phrase_levels(texts: DataFrame, scratch: Scratch, longest: int = LONGEST, le
             told.append(_told(levels[-1]))
             shared = spark.sparkContext.broadcast(told)
             name = f"{scratch.root}/{k}"
-            counted = texts.mapInArrow(_counter(name, shared, k), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+            if encoded is None:
+                encoded = scratch.keep(texts.mapInArrow(_encoder(name, shared, longest - 1), "lang string, carried int, numbers binary"), "numbers", hashes=True)
+            counted = encoded.mapInArrow(_counter(name, shared, k), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
             level = counted.mapInArrow(_speller(name, shared), "lang string, phrase binary, f long")
         else:
             level = _joined(texts, levels[-1], k, least)

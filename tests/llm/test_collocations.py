@@ -48,7 +48,7 @@ def found(spark, rows, **how):
     return sorted(map(tuple, got.collect()))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_brute_force(spark, seed):
     rows = drawn(seed)
     want = brute(rows, least=9)
@@ -58,6 +58,30 @@ def test_equals_brute_force(spark, seed):
     assert found(spark, rows, least=9, most_bytes=200) == want  # by broadcast first, then by joins
 
 
+@pytest.mark.parametrize(("chunk", "held"), [(40, 5)])
+def test_texts_cut_into_chunks(spark, monkeypatch, chunk, held):
+    import lakeloom.llm.collocations as module
+
+    def cut(function):  # sets the bounds in the workers too
+        def run(batches):
+            import lakeloom.llm.collocations as there
+
+            before = there.CHUNK, there.HELD
+            there.CHUNK, there.HELD = chunk, held
+            try:
+                yield from function(batches)
+            finally:
+                there.CHUNK, there.HELD = before
+
+        return run
+
+    rows = drawn(4)
+    for name in ("_encoder", "_counter"):
+        monkeypatch.setattr(module, name, lambda *a, made=getattr(module, name): cut(made(*a)))
+    monkeypatch.setattr(module, "_count_words", cut(module._count_words))
+    assert found(spark, rows, least=9) == brute(rows, least=9)
+
+
 def test_top_and_production_bounds(spark):
     rows = drawn(3, 700)
     assert found(spark, rows, top=7) == brute(rows, top=7)
@@ -82,7 +106,8 @@ def test_chunks_hold_each_run_once(monkeypatch):
     for carry in range(5):
         for size in (1, 7, 50, 10_000):
             monkeypatch.setattr(c, "CHUNK", size)
-            runs = Counter(tuple(x[i : i + carry + 1]) for x in c._chunks(texts, carry) for i in range(len(x) - carry))
+            chunks = [[w.encode() for w in words.to_pylist()] for _, words in c._chunks(texts, carry)]
+            runs = Counter(tuple(x[i : i + carry + 1]) for x in chunks for i in range(len(x) - carry))
             want = Counter(tuple(x[i : i + carry + 1]) for x in whole for i in range(len(x) - carry))
             keep = lambda counts: {r: n for r, n in counts.items() if c.BREAK not in r}
             assert keep(runs) == keep(want)
