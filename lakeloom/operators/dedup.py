@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeloom import vocab
 from lakeloom.functions.content import content_hash, forward_slashes
-from lakeloom.operators.splitting import assert_disjoint, cross_split_counts
+from lakeloom.functions.ordering import running
+from lakeloom.operators.splitting import assert_disjoint, cross_split_counts, in_mask, split_mask
 from lakeloom.vocab import SPLITS
 
 HASHES = "path string, sha256 string, bytes long, exists boolean"
@@ -26,9 +27,14 @@ def hash_corpus(wanted: DataFrame, files: DataFrame, path_col: str = "path") ->
 
 
 def duplicate_groups(hashes: DataFrame) -> DataFrame:
-    """(sha256, count, paths) of content that more than one file has."""
-    groups = hashes.where("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("path")).alias("paths"))
-    return groups.where("count > 1").orderBy(F.desc("count"), "sha256")
+    """(sha256, count, representative, place, path) of content that more than one file has, a row for each file.
+
+    Files of a content are in order of their path, the first one being its representative. A content
+    is rows, never one list, and its places come from ranges of paths, so it may have any number of files.
+    """
+    there = hashes.where("sha256 is not null").select("sha256", "path")
+    many = there.groupBy("sha256").agg(F.count("*").alias("count"), F.min("path").alias("representative")).where("count > 1")
+    return running(there.join(many, "sha256"), ["sha256"], ["path"], "place").select("sha256", "count", "representative", "place", "path")
 
 
 def dedup_report(hashes: DataFrame) -> DataFrame:
@@ -48,15 +54,15 @@ def assert_no_cross_split_duplicates(df: DataFrame, hash_col: str = "sha256", sp
 
 def collision_forensics(df: DataFrame, hash_col: str = "sha256", split_col: str = "split") -> DataFrame:
     """(sha256, files, splits) of content in more than one split."""
-    groups = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("files"), F.collect_set(split_col).alias("s"))
-    splits = F.array_join(F.filter(F.array(*map(F.lit, SPLITS)), lambda x: F.array_contains("s", x)), ",")
-    return groups.where(F.size("s") > 1).select(hash_col, "files", splits.alias("splits"))
+    groups = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("files"), split_mask(split_col).alias("s"))
+    splits = F.concat_ws(",", *(F.when(in_mask("s", x), F.lit(x)) for x in SPLITS))
+    return groups.where(F.bit_count("s") > 1).select(hash_col, "files", splits.alias("splits"))
 
 
 def label_consistency(df: DataFrame, label_col: str = "coarse_label", hash_col: str = "sha256") -> DataFrame:
     """How many shared contents have one label, and how many several."""
-    groups = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("n"), F.count_distinct(label_col).alias("labels")).where("n > 1")
-    return groups.agg(F.count_if(F.col("labels") == 1).alias("one_label"), F.count_if(F.col("labels") > 1).alias("several_labels"))
+    groups = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("n"), F.min(label_col).alias("least"), F.max(label_col).alias("most")).where("n > 1")
+    return groups.agg(F.count_if(F.col("least") == F.col("most")).alias("one_label"), F.count_if(F.col("least") < F.col("most")).alias("several_labels"))
 
 
 def with_keep_split(df: DataFrame, hash_col: str = "sha256", split_col: str = "split") -> DataFrame:

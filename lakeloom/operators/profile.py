@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.labeling import percent
+from lakeloom.operators.quantiles import counted_values, order_statistics, quantiles
+from lakeloom.sources.shared import written
 from lakeloom.vocab import TOKEN_BUDGET_BYTES
 
 
@@ -24,13 +29,15 @@ def null_zero_negative_audit(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"), *marks, F.count_if(F.col("code_size") < 0).alias("code_size_negative"))
 
 
-def describe(df: DataFrame, column: str, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), digits: int = 4) -> DataFrame:
-    """(stat, value): count, mean, sample deviation, least, percentiles (the median always), most."""
+def describe(df: DataFrame, column: str, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), digits: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, stat, value): count, mean, sample deviation, least, percentiles (the median always), most."""
     points = sorted({0.5, *percentiles})
-    row = df.where(F.col(column).isNotNull()).agg(F.count(column).cast("double").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("min"), F.percentile(column, points).alias("p"), F.max(column).cast("double").alias("max"))
     names = [f"p{100 * p:g}" for p in points]
-    row = row.select("count", "mean", "std", "min", *(F.col("p")[k].alias(n) for k, n in enumerate(names)), "max")
-    return row.unpivot([], row.columns, "stat", "value").withColumn("value", F.round("value", digits))
+    stats = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count(column).cast("double").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"))
+    at = quantiles(df, column, tuple(points), by).select(F.col("quantiles"), *(F.col(c).alias(f"_at_{c}") for c in by))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in by), F.lit(True))
+    row = (stats.join(at, same) if by else stats.join(F.broadcast(at))).select(*by, "count", "mean", "std", "min", *(F.col("quantiles")[k].alias(n) for k, n in enumerate(names)), "max")
+    return row.unpivot(list(by), [c for c in row.columns if c not in by], "stat", "value").withColumn("value", F.round("value", digits))
 
 
 def group_sizes(df: DataFrame, group_col: str) -> DataFrame:
@@ -53,11 +60,17 @@ def concentration_share(df: DataFrame, group_col: str, tops: tuple[int, ...] = (
 
 
 def truncation_profile(df: DataFrame, limit: int = TOKEN_BUDGET_BYTES) -> DataFrame:
-    """Positive sizes over all rows (status null) and per verdict: n, median, p95, share above the limit."""
-    sized = df.where("code_size > 0")
-    aggs = [F.count("*").alias("n"), F.round(F.percentile("code_size", 0.5), 4).alias("median"), F.round(F.percentile("code_size", 0.95), 4).alias("p95"), F.round(F.avg((F.col("code_size") > limit).cast("double")), 6).alias("over_share")]
-    whole = sized.agg(*aggs).select(F.lit("ALL").alias("status"), "n", "median", "p95", "over_share")
-    return whole.unionByName(sized.groupBy("status").agg(*aggs))
+    """Positive sizes over all rows (status ALL) and per verdict: n, median, p95, share above the limit.
+
+    Sizes are counted once; both levels and all figures come from the counts.
+    """
+    counted = counted_values(df.where("code_size > 0"), "code_size", ("status",))
+    level = F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit("ALL").alias("status")), F.struct(F.lit(False).alias("whole"), "status")))
+    both = written(counted.select(level.alias("level"), "value", "n").groupBy("level", "value").agg(F.sum("n").alias("n")), "sizes")
+    sums = both.groupBy("level").agg(F.sum("n").alias("n"), (F.coalesce(F.sum(F.when(F.col("value") > limit, F.col("n"))), F.lit(0)) / F.sum("n")).alias("over_share"))
+    at = order_statistics(both, (0.5, 0.95), ("level",))
+    out = sums.join(at, "level")
+    return out.select("level.status", "n", F.round(F.col("quantiles")[0], 4).alias("median"), F.round(F.col("quantiles")[1], 4).alias("p95"), F.round("over_share", 6).alias("over_share"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:

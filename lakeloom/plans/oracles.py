@@ -77,7 +77,13 @@ _BINS = "least(CAST(floor((least({x}, {hi}) - 0) / ({hi} / {n})) AS INTEGER), {n
 _REPORT = """SELECT CAST(coalesce(sum(n) FILTER (sha256 IS NOT NULL), 0) AS BIGINT) AS files_hashed, CAST(0 AS BIGINT) AS files_missing, count(*) AS unique_hashes, count(*) FILTER (n > 1) AS duplicate_groups,
   CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS files_in_duplicate_groups, CAST(sum(n) - count(*) AS BIGINT) AS redundant_files, round_even((1 - count(*) / CAST(sum(n) AS DOUBLE)) * 100, 4) AS duplicate_rate_pct{more}
   FROM (SELECT sha256, count(*) AS n FROM corpus GROUP BY sha256)"""
-_DESCRIBE = ["('count', CAST(count(n) AS DOUBLE))", "('mean', avg(n))", "('std', stddev_samp(n))", "('min', CAST(min(n) AS DOUBLE))", *(f"('p{round(100 * p)}', quantile_cont(n, {p}))" for p in (0.05, 0.25, 0.5, 0.75, 0.95)), "('max', CAST(max(n) AS DOUBLE))"]
+
+
+def _described(points: tuple[float, ...]) -> list[str]:
+    return ["('count', CAST(count(n) AS DOUBLE))", "('mean', avg(n))", "('std', stddev_samp(n))", "('min', CAST(min(n) AS DOUBLE))", *(f"('p{round(100 * p)}', quantile_cont(n, {p}))" for p in points), "('max', CAST(max(n) AS DOUBLE))"]
+
+
+_DESCRIBE = _described((0.05, 0.25, 0.5, 0.75, 0.95))
 
 SQL: dict[str, str] = {
     "verdict_distribution": _SUB + " SELECT status, count(*) AS n, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM submissions), 2) AS pct FROM submissions GROUP BY status",
@@ -96,6 +102,7 @@ SQL: dict[str, str] = {
     "provenance_by_judge": _SUB + " SELECT CASE WHEN substr(problem_id, 6, 1) < '5' THEN 'AIZU' ELSE 'AtCoder' END AS judge, count(*) AS n FROM submissions GROUP BY ALL",
     "date_range": _SUB + " SELECT strftime(to_timestamp(min(date)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS first_day, strftime(to_timestamp(max(date)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS last_day, count(*) - count(date) AS undated FROM submissions",
     "group_size_describe": _SKEW + ", g AS (SELECT count(*) AS n FROM submissions GROUP BY problem_id) " + " UNION ALL ".join(f"SELECT {x.split(',', 1)[0][1:]} AS stat, round({x.split(',', 1)[1][:-1]}, 4) AS value FROM g" for x in _DESCRIBE),
+    "code_size_describe": _SUB + ", g AS (SELECT status, language, code_size AS n FROM submissions WHERE code_size > 0) " + " UNION ALL ".join(f"SELECT status, language, {x.split(',', 1)[0][1:]} AS stat, round({x.split(',', 1)[1][:-1]}, 4) AS value FROM g GROUP BY ALL" for x in _described((0.01, 0.5, 0.99))),
     "concentration_share": _SKEW + ", g AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS k, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM (SELECT count(*) AS n FROM submissions GROUP BY problem_id)) SELECT CAST(k AS INTEGER) AS k, round(CAST(upto AS DOUBLE) / total, 6) AS share FROM g WHERE k IN (10, 50, 100, 500, 1000)",
     "code_size_truncation": _SUB + ", x AS (SELECT status, code_size FROM submissions WHERE code_size > 0 UNION ALL SELECT 'ALL', code_size FROM submissions WHERE code_size > 0) SELECT status, count(*) AS n, round(quantile_cont(code_size, 0.5), 4) AS median, round(quantile_cont(code_size, 0.95), 4) AS p95, round(avg(CASE WHEN code_size > 1792 THEN 1.0 ELSE 0.0 END), 6) AS over_share FROM x GROUP BY status",
     "code_size_histogram": _SUB + f" SELECT {_BINS.format(x='CAST(code_size AS DOUBLE)', hi='8000.0::DOUBLE', n=80)} AS bin, count(*) AS n FROM submissions WHERE code_size >= 0 GROUP BY ALL",
@@ -115,7 +122,7 @@ SQL: dict[str, str] = {
     "round_robin_coverage": _SKEW + ", k AS (SELECT *, md5('42:' || submission_id) AS k FROM labeled), t AS (SELECT *, row_number() OVER (PARTITION BY coarse_label, problem_id ORDER BY k, submission_id) AS turn, row_number() OVER (PARTITION BY coarse_label ORDER BY k, submission_id) AS plain FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY coarse_label ORDER BY turn, k, submission_id) AS pos FROM t) SELECT coarse_label, count(DISTINCT CASE WHEN pos <= 100 THEN problem_id END) AS round_robin_groups, count(DISTINCT CASE WHEN plain <= 100 THEN problem_id END) AS naive_groups FROM p GROUP BY coarse_label",
     "archive_paths": _SUB + " SELECT submission_id, 'Project_CodeNet/data/' || problem_id || '/C++/' || submission_id || '.cpp' AS archive_path, problem_id || '/C++/' || submission_id || '.cpp' AS rel_path FROM labeled",
     "content_hashes": _CORPUS + " SELECT submission_id AS path, sha256, CAST(bytes AS BIGINT) AS bytes, true AS exists FROM corpus",
-    "duplicate_groups": _CORPUS + " SELECT sha256, count(*) AS count, string_agg(submission_id, ',' ORDER BY submission_id) AS paths FROM corpus GROUP BY sha256 HAVING count(*) > 1",
+    "duplicate_groups": _CORPUS + " SELECT sha256, count(*) OVER g AS count, min(submission_id) OVER g AS representative, row_number() OVER (PARTITION BY sha256 ORDER BY submission_id) AS place, submission_id AS path FROM corpus WINDOW g AS (PARTITION BY sha256) QUALIFY count(*) OVER g > 1",
     "dedup_report": _CORPUS + " " + _REPORT.format(more=""),
     "cross_split_overlap": _CORPUS + _allocated("corpus") + " " + _pairs("rows_split", "sha256"),
     "collision_forensics": _CORPUS + _allocated("corpus") + " SELECT sha256, count(*) AS files, concat_ws(',', CASE WHEN bool_or(split = 'train') THEN 'train' END, CASE WHEN bool_or(split = 'val') THEN 'val' END, CASE WHEN bool_or(split = 'test') THEN 'test' END) AS splits FROM rows_split GROUP BY sha256 HAVING count(DISTINCT split) > 1",

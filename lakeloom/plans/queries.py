@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from lakeloom.functions.ordering import exact_sample, random_split, with_rank
 from lakeloom.operators import audit, dedup, inference, labeling, probe, profile, sampling, splitting
 from lakeloom.sources import readers
 from lakeloom.sources.fixtures import corpus, submissions
+from lakeloom.sources.shared import new_folder
 from lakeloom.vocab import SEED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def code_size_histogram(spark, sf_dir):
     return profile.histogram(submissions(spark, sf_dir), "code_size", 80, 0, 8000)
 
 
+def code_size_describe(spark, sf_dir):
+    """Figures of the code sizes of each verdict and language."""
+    return profile.describe(submissions(spark, sf_dir).where("code_size > 0"), "code_size", (0.01, 0.5, 0.99), by=("status", "language"))
+
+
 def group_size_histogram(spark, sf_dir):
     return profile.histogram(profile.group_sizes(submissions(spark, sf_dir, True), "problem_id"), "n", 60, 0, 600)
 
@@ -133,7 +138,7 @@ def content_hashes(spark, sf_dir):
 
 
 def duplicate_groups(spark, sf_dir):
-    return dedup.duplicate_groups(_hashes(spark, sf_dir)).select("sha256", "count", F.array_join("paths", ",").alias("paths"))
+    return dedup.duplicate_groups(_hashes(spark, sf_dir))
 
 
 def label_consistency(spark, sf_dir):
@@ -170,18 +175,9 @@ def exact_n_sample(spark, sf_dir):
     return exact_sample(submissions(spark, sf_dir), "submission_id", 500, SEED).select("submission_id", "status")
 
 
-def _written(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, gone when the JVM ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/lakeloom-{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def metadata_csv(spark, sf_dir):
     """Submissions written as CSV files of two column orders and read back by name."""
-    folder = _written(spark, "metadata")
+    folder = new_folder(spark, "metadata")
     rows = submissions(spark, sf_dir).withColumn("filename_ext", F.lit("cpp"))
     for accepted, columns in ((True, list(readers.METADATA)), (False, [*reversed(readers.METADATA)])):
         rows.where((F.col("status") == "Accepted") == accepted).select(*columns).write.mode("append").option("header", True).csv(folder)
@@ -190,14 +186,14 @@ def metadata_csv(spark, sf_dir):
 
 def report_csv(spark, sf_dir):
     """A report written as CSV and read back as a dimension table."""
-    folder = _written(spark, "report")
+    folder = new_folder(spark, "report")
     readers.write_report(submissions(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")), folder)
     return readers.read_dimension(spark, folder, {"status": "string", "n": "bigint"})
 
 
 def path_lines(spark, sf_dir):
     """A list of paths written as text and read back."""
-    folder = _written(spark, "paths")
+    folder = new_folder(spark, "paths")
     readers.write_lines(corpus(spark, sf_dir).select(F.concat("submission_id", F.lit(".cpp")).alias("path")), "path", folder)
     return readers.read_lines(spark, folder)
 
@@ -243,6 +239,7 @@ QUERIES: dict[str, Query] = {
     "provenance_by_judge": provenance_by_judge,
     "date_range": _over(profile.date_range, submissions),
     "group_size_describe": group_size_describe,
+    "code_size_describe": code_size_describe,
     "concentration_share": lambda spark, sf_dir: profile.concentration_share(submissions(spark, sf_dir, True), "problem_id"),
     "code_size_truncation": _over(profile.truncation_profile, submissions),
     "code_size_histogram": code_size_histogram,

@@ -28,8 +28,7 @@ def test_normalisation(spark):
 
 @pytest.fixture(scope="module")
 def hashes(spark):
-    base = b"int main() {\n}\n"
-    files = {"a": base, "b": base, "c": base.replace(b"\n", b"\r\n"), "d": base.replace(b"{\n", b"{  \n"), "e": b"x", "f/g\\h": b"y"}
+    files = {"z/one": b"while (1);\r", "m/two": b"while (1);\n", "a/odd\\name": b"while (1);\t\v\n", "q": b"\xef\xbb\xbfreturn 7;", "b": b"return 7;", "k": b"", "lone": b"\n\n"}
     have = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
     wanted = spark.createDataFrame([(k,) for k in [*files, "gone"]], "path string")
     return dedup.hash_corpus(wanted, have).cache()
@@ -38,10 +37,24 @@ def hashes(spark):
 def test_report(spark, hashes):
     rows = {r.path: r for r in hashes.collect()}
     assert rows["gone"].exists is False and rows["gone"].sha256 is None and rows["gone"].bytes is None
-    assert "f/g/h" in rows and rows["c"].bytes == rows["a"].bytes + 2
-    assert dedup.duplicate_groups(hashes).select("count", "paths").collect() == [(4, ["a", "b", "c", "d"])]
-    assert tuple(dedup.dedup_report(hashes).first()) == (6, 1, 3, 1, 4, 3, 50.0)
+    assert rows["a/odd/name"].bytes == rows["m/two"].bytes + 2
+    groups = {}
+    for r in dedup.duplicate_groups(hashes).orderBy("sha256", "place").collect():
+        groups.setdefault((r["count"], r.representative), []).append((r.place, r.path))
+    assert groups == {(3, "a/odd/name"): [(1, "a/odd/name"), (2, "m/two"), (3, "z/one")], (2, "b"): [(1, "b"), (2, "q")]}
+    assert tuple(dedup.dedup_report(hashes).first()) == (7, 1, 4, 2, 5, 3, 42.8571)
     assert tuple(dedup.dedup_report(spark.createDataFrame([], dedup.HASHES)).first()) == (0, 0, 0, 0, 0, 0, 0.0)
+    assert dedup.duplicate_groups(spark.createDataFrame([], dedup.HASHES)).count() == 0
+
+
+def test_a_content_of_a_million_files(spark):
+    n = 1_000_000
+    hashes = spark.range(n + 3).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("path"), F.when(F.col("id") < n, "hot").otherwise(F.col("id").cast("string")).alias("sha256"), F.lit(1).cast("long").alias("bytes"), F.lit(True).alias("exists"))
+    groups = dedup.duplicate_groups(hashes)
+    plan = groups._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    row = groups.agg(F.count("*").alias("n"), F.count_if(F.col("place") == F.substring("path", 2, 8).cast("long") + 1).alias("right"), F.max("count").alias("count"), F.max("representative").alias("first")).first()
+    assert tuple(row) == (n, n, n, "p00000000")
 
 
 def test_cross_split(spark):
