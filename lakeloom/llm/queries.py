@@ -17,6 +17,7 @@ from lakeloom.llm.line_dedup import dedup_lines
 from lakeloom.llm.merkle import tamper_report
 from lakeloom.llm.mixing import mix_sources
 from lakeloom.llm.packing import pack_documents
+from lakeloom.llm.pii import personal_data_report
 from lakeloom.llm.syncmers import fingerprint_report
 from lakeloom.llm.token_counts import section_token_counts
 from lakeloom.llm.toxicity import toxicity_scores
@@ -73,6 +74,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_personal_data": op12_personal_data,
         "op13_phrase_collocations": op13_phrase_collocations,
     }
 
