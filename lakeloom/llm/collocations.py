@@ -20,14 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.scratch import Scratch
+from lakeloom.llm.textvec import frugal
 
 LONGEST = 5  # words
 LEAST = 100  # occurrences
 TOP = 2_000
 MOST_BYTES = 16 << 20  # of all level tables that a task holds
 CHUNK = 2 << 20  # bytes of text that are split at a time
-SLICE = 1_000  # rows of a batch that are Python objects at a time
-HELD = 1 << 20  # distinct keys that a task holds before it hands them on
+SLICE = 500  # rows of a batch that are Python objects at a time
+HELD = 1 << 19  # distinct keys that a task holds before it hands them on
 SALTS = 32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -278,7 +279,7 @@ def phrase_levels(texts: DataFrame, scratch: Scratch, longest: int = LONGEST, le
     spark = texts.sparkSession
     texts = texts.select("lang", F.col("text").cast("binary").alias("text"))
     as_text = lambda df: df.withColumn("phrase", F.col("phrase").cast("string"))
-    words = texts.mapInArrow(_count_words, "lang string, key binary, c long")
+    words = texts.mapInArrow(frugal(_count_words), "lang string, key binary, c long")
     all_words = F.when(F.col("f") < least, None).otherwise(F.col("phrase"))  # rare ones go on as one sum
     counted = words.groupBy("lang", F.col("key").alias("phrase")).agg(F.sum("c").alias("f")).groupBy("lang", all_words.alias("phrase")).agg(F.sum("f").alias("f"))
     first = scratch.keep(as_text(counted), "level-1")
@@ -294,9 +295,9 @@ def phrase_levels(texts: DataFrame, scratch: Scratch, longest: int = LONGEST, le
             shared = spark.sparkContext.broadcast(told)
             name = f"{scratch.root}/{k}"
             if encoded is None:
-                encoded = scratch.keep(texts.mapInArrow(_encoder(name, shared, longest - 1), "lang string, carried int, numbers binary"), "numbers", hashes=True)
-            counted = encoded.mapInArrow(_counter(name, shared, k), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-            level = counted.mapInArrow(_speller(name, shared), "lang string, phrase binary, f long")
+                encoded = scratch.keep(texts.mapInArrow(frugal(_encoder(name, shared, longest - 1)), "lang string, carried int, numbers binary"), "numbers", hashes=True)
+            counted = encoded.mapInArrow(frugal(_counter(name, shared, k)), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+            level = counted.mapInArrow(frugal(_speller(name, shared)), "lang string, phrase binary, f long")
         else:
             level = _joined(texts, levels[-1], k, least)
         levels.append(scratch.keep(as_text(level), f"level-{k}"))
