@@ -1,8 +1,11 @@
-"""Eager guards: each runs a job and raises when the data break a promise."""
+"""Guards: observed on a plan that runs anyway, or eager ones that run a job; they raise when the data break a promise."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -35,6 +38,62 @@ def assert_distribution(df: DataFrame, column: str, expected: dict[str, int]) ->
         raise AssertionError(f"{column}: {found}, expected {expected}")
 
 
+class Guards:
+    """Promises on the rows of a plan, counted while it runs: no job or pass of their own.
+
+    ``watch(df)`` gives the rows to write; once they are written, ``metrics()`` has what was counted
+    and ``verify()`` raises one AssertionError that names every broken promise. ``rows`` is always
+    counted. What needs rows of a key together (uniqueness, splits that share a key) cannot be observed.
+    """
+
+    def __init__(self, name: str = "guards"):
+        self.name = name
+        self._counts: dict[str, Column] = {"rows": F.count(F.lit(1))}
+        self._promised: dict[str, int] = {}
+        self._observed: Observation | None = None
+
+    def count(self, metric: str, condition: Column, promised: int | None = None) -> Guards:
+        """Counts the rows that meet a condition; ``promised`` is how many there have to be."""
+        if metric in self._counts:
+            raise ValueError(f"{metric} is counted already")
+        self._counts[metric] = F.count_if(condition)
+        if promised is not None:
+            self._promised[metric] = promised
+        return self
+
+    def rows(self, promised: int) -> Guards:
+        self._promised["rows"] = promised
+        return self
+
+    def no_nulls(self, *names: str) -> Guards:
+        for n in names:
+            self.count(f"{n}_null", F.col(n).isNull(), 0)
+        return self
+
+    def values(self, column: str, allowed: Mapping[Any, int | None] | tuple) -> Guards:
+        """A column holds no other values than ``allowed`` (nulls aside), each as often as promised where a number is given."""
+        promised = dict(allowed) if isinstance(allowed, Mapping) else dict.fromkeys(allowed)
+        for value, n in promised.items():
+            self.count(f"{column}={value}", F.col(column) == value, n)
+        return self.count(f"{column}_other", ~F.col(column).isin(list(promised)), 0)
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        self._observed = Observation(self.name)
+        return df.observe(self._observed, *(c.alias(m) for m, c in self._counts.items()))
+
+    def metrics(self) -> dict[str, int]:
+        """The counts; waits for the watched plan to run."""
+        if self._observed is None:
+            raise ValueError("no rows are watched")
+        return dict(self._observed.get)
+
+    def verify(self) -> dict[str, int]:
+        found = self.metrics()
+        if broken := {m: found[m] for m in self._counts if found[m] != self._promised.get(m, found[m])}:
+            raise AssertionError("; ".join(f"{m} is {n}, promised {self._promised[m]}" for m, n in broken.items()))
+        return found
+
+
 def reconciliation(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: (key, side) with side ``missing`` or ``extra``."""
     a, b = wanted.select(key).distinct(), present.select(key).distinct()

@@ -34,7 +34,8 @@ class RandomPredictor:
         self.seed = 0 if seed is None else seed
 
     def probabilities(self, row_id: Column, code: Column) -> Column:
-        scores = F.array(*((F.pmod(F.xxhash64(row_id.cast("string"), F.lit(self.seed), F.lit(k)), F.lit(1_000_003)) + 1).cast("double") for k in range(len(SERVING_CLASSES))))
+        drawn = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{self.seed}:"), row_id.cast("string"), F.lit(f":{k}"))), 1, 8), 16, 10).cast("long")
+        scores = F.array(*((drawn(k) % 1_000_003 + 1).cast("double") for k in range(len(SERVING_CLASSES))))
         total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
         return F.transform(scores, lambda x: x / total)
 
