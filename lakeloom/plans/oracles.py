@@ -85,6 +85,17 @@ def _described(points: tuple[float, ...]) -> list[str]:
 
 _DESCRIBE = _described((0.05, 0.25, 0.5, 0.75, 0.95))
 
+_METADATA = _SUB + " SELECT submission_id, problem_id, user_id, date, language, original_language, 'cpp' AS filename_ext, status, CAST(cpu_time AS BIGINT) AS cpu_time, CAST(memory AS BIGINT) AS memory, CAST(code_size AS BIGINT) AS code_size FROM submissions"
+_CELL = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LANES = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {16 * k + 1}, 16) AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)" for k in range(4))
+_GUARDS = {
+    "rows": "true",
+    **{f"{c}_null": f"{c} IS NULL" for c in ("submission_id", "problem_id", "user_id")},
+    **{f"coarse_label={c}": f"coarse_label = '{c}'" for c in vocab.COARSE},
+    "coarse_label_other": f"coarse_label NOT IN {vocab.COARSE}",
+}
+_DRAWN = lambda k: f"CAST(CAST('0x' || substr(md5('42:' || doc_id || ':{k}'), 1, 8) AS BIGINT) % 1000003 + 1 AS DOUBLE)"
+
 SQL: dict[str, str] = {
     "verdict_distribution": _SUB + " SELECT status, count(*) AS n, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM submissions), 2) AS pct FROM submissions GROUP BY status",
     "language_status_matrix": _SUB + " SELECT language, status, count(*) AS n FROM submissions GROUP BY ALL",
@@ -136,7 +147,14 @@ SQL: dict[str, str] = {
     "taxonomy_leaf_dim": f"SELECT CAST(a AS INTEGER) AS leaf_id, b AS leaf, c AS coarse_label, CAST(d AS INTEGER) AS coarse_id, CAST(e AS INTEGER) AS tier, f AS terminal FROM (VALUES {_VALUES([(k, leaf, parent, vocab.COARSE.index(parent), tier, leaf == parent) for k, (leaf, parent, tier) in enumerate(vocab.LEAVES)])}) t(a, b, c, d, e, f)",
     "encoding_survey": """SELECT 'utf-8' AS encoding, count(*) AS n, count(*) FILTER (strlen(text) <> len(text)) AS high_byte FROM (
   SELECT text FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR) LIMIT 2000) HAVING count(*) > 0""",
-    "metadata_csv": _SUB + " SELECT submission_id, problem_id, user_id, date, language, original_language, 'cpp' AS filename_ext, status, CAST(cpu_time AS BIGINT) AS cpu_time, CAST(memory AS BIGINT) AS memory, CAST(code_size AS BIGINT) AS code_size FROM submissions",
+    "metadata_csv": _METADATA,
+    "incremental_metadata": _METADATA,
+    "archive_members": _CORPUS + " SELECT 'Project_CodeNet/data/' || problem_id || '/C++/' || submission_id || '.cpp' AS name, bytes AS size, true AS regular FROM corpus WHERE problem_id LIKE 'src1%'",
+    "extracted_tree": _CORPUS + " SELECT problem_id || '/C++/' || submission_id || '.cpp' AS path, bytes AS length, sha256 FROM corpus",
+    "artifact_digests": _SKEW + _allocated("labeled") + f", r AS (SELECT split, sha256({' || '.join(map(_CELL, sorted(('submission_id', 'problem_id', 'user_id', 'status', 'date', 'code_size', 'original_language', 'coarse_label'))))}) AS h FROM rows_split) SELECT split, count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS digest FROM r GROUP BY split",
+    "guarded_manifest": _SUB + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER ({c}) AS n FROM labeled" for m, c in _GUARDS.items()),
+    "predict_distribution": f"WITH s AS (SELECT doc_id, [{', '.join(map(_DRAWN, range(len(vocab.SERVING_CLASSES))))}] AS s FROM documents WHERE len(text) BETWEEN 1 AND 50000), p AS (SELECT doc_id, list_transform(s, lambda x: x / list_sum(s)) AS p FROM s) SELECT doc_id, {list(vocab.SERVING_CLASSES)}[list_position(p, list_max(p))] AS predicted_class, round(list_max(p), 9) AS confidence, "
+    + ", ".join(f"round(p[{k + 1}], 9) AS p_{label}" for k, label in enumerate(vocab.SERVING_CLASSES)) + ", 'dummy-random-v1' AS model_name, true AS is_placeholder FROM p",
     "report_csv": _SUB + " SELECT status, CAST(count(*) AS BIGINT) AS n FROM submissions GROUP BY status",
     "path_lines": "SELECT DISTINCT CAST(doc_id AS VARCHAR) || '.cpp' AS archive_path FROM documents",
     "exact_n_sample": _SUB + " SELECT submission_id, status FROM submissions ORDER BY md5('42:' || submission_id), submission_id LIMIT 500",

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom import vocab
-from lakeloom.functions.content import content_hash, strip_prefix
+from lakeloom.functions.content import ARCHIVE_ROOT, archive_path, content_hash, strip_prefix
 from lakeloom.functions.ordering import exact_sample, random_split, with_rank
-from lakeloom.operators import audit, dedup, inference, labeling, probe, profile, sampling, splitting
-from lakeloom.sources import readers
+from lakeloom.operators import audit, dedup, freeze, inference, labeling, probe, profile, sampling, splitting
+from lakeloom.sources import archive, readers, tree
 from lakeloom.sources.fixtures import corpus, submissions
 from lakeloom.sources.shared import new_folder
+from lakeloom.streaming import metadata
 from lakeloom.vocab import SEED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,6 +199,49 @@ def path_lines(spark, sf_dir):
     return readers.read_lines(spark, folder)
 
 
+def incremental_metadata(spark, sf_dir):
+    """Submissions that come in as CSV files in two parts, read by a run after each; the second reads new files only."""
+    folder, target, checkpoint = (new_folder(spark, name) for name in ("incoming", "landed", "stream"))
+    rows = submissions(spark, sf_dir).withColumn("filename_ext", F.lit("cpp"))
+    for accepted, columns in ((True, list(readers.METADATA)), (False, [*reversed(readers.METADATA)])):
+        rows.where((F.col("status") == "Accepted") == accepted).select(*columns).write.mode("append").option("header", True).csv(folder)
+        metadata.append_new_metadata(spark, folder, target, checkpoint, "*.csv")
+    return metadata.landed_metadata(spark, target)
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of archives that hold the corpus."""
+    folder = new_folder(spark, "archives")
+    files = corpus(spark, sf_dir)
+    archive.write_archives(files.select(archive_path(F.col("problem_id"), F.col("submission_id")).alias("name"), "content"), folder)
+    return folder
+
+
+def archive_members(spark, sf_dir):
+    """Members of archives whose names start with a prefix, listed without unpacking any."""
+    wanted = F.col("name").startswith(f"{ARCHIVE_ROOT}/src1")
+    return archive.read_members(spark, _archived(spark, sf_dir), content=False, where=wanted).select("name", "size", "regular")
+
+
+def extracted_tree(spark, sf_dir):
+    """Archives unpacked into a file tree, which is listed, read back and hashed."""
+    members = archive.read_members(spark, _archived(spark, sf_dir)).where("regular")
+    folder = new_folder(spark, "tree")
+    tree.write_tree(members.withColumn("path", strip_prefix(F.col("name"), f"{ARCHIVE_ROOT}/")), folder)
+    return tree.read_tree(spark, folder, "*.cpp").select("path", "length", content_hash(F.col("content")).alias("sha256"))
+
+
+def artifact_digests(spark, sf_dir):
+    return freeze.content_digests(_split(spark, sf_dir), ("split",))
+
+
+def guarded_manifest(spark, sf_dir):
+    """What guards count while the labelled manifest is written, in the one job that writes it."""
+    guards = audit.Guards().no_nulls("submission_id", "problem_id", "user_id").values("coarse_label", vocab.COARSE)
+    readers.write_parquet(guards.watch(_labeled(spark, sf_dir, False)), new_folder(spark, "manifest"))
+    return spark.createDataFrame(sorted(guards.verify().items()), "metric string, n long")
+
+
 def encoding_survey(spark, sf_dir):
     return probe.encoding_survey(corpus(spark, sf_dir))
 
@@ -209,7 +253,9 @@ def compile_probe(spark, sf_dir):
 
 def predict_distribution(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("code"))
-    return inference.predict(docs, inference.build_predictor({"type": "dummy", "seed": SEED}), "doc_id").select("doc_id", "prediction.*")
+    told = inference.predict(docs, inference.build_predictor({"type": "dummy", "seed": SEED}), "doc_id").select("doc_id", "prediction.*")
+    each = [F.round(F.col("probabilities")[k]["probability"], 9).alias(f"p_{label}") for k, label in enumerate(vocab.SERVING_CLASSES)]
+    return told.select("doc_id", "predicted_class", F.round("confidence", 9).alias("confidence"), *each, "model_name", "is_placeholder")
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,6 +321,11 @@ QUERIES: dict[str, Query] = {
     "metadata_csv": metadata_csv,
     "report_csv": report_csv,
     "path_lines": path_lines,
+    "incremental_metadata": incremental_metadata,
+    "archive_members": archive_members,
+    "extracted_tree": extracted_tree,
+    "artifact_digests": artifact_digests,
+    "guarded_manifest": guarded_manifest,
     "encoding_survey": encoding_survey,
     "compile_probe": compile_probe,
     "predict_distribution": predict_distribution,

@@ -5,14 +5,16 @@ from __future__ import annotations
 import csv
 import json
 from functools import reduce
-from operator import and_
 from pathlib import Path
 from typing import Any
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.sources.tree import list_tree, read_tree, write_tree
+
+__all__ = ["METADATA", "copy_file", "list_tree", "load_config", "metadata_files", "read_dimension", "read_files", "read_lines", "read_metadata", "read_tree", "write_config", "write_lines", "write_parquet", "write_report", "write_tree"]
+
 # The columns and types of the data format.
 METADATA = {
     "submission_id": "string",
@@ -29,49 +31,42 @@ METADATA = {
 }
 
 
-def read_metadata(spark: SparkSession, folder: str, pattern: str = "p[0-9]*.csv") -> DataFrame:
-    """The per-problem CSV files of a folder: named projection, pinned types; each file may order its columns its own way.
+def metadata_files(spark: SparkSession, headers: dict[str, list[str]]) -> DataFrame:
+    """Metadata of files given by their header line: named projection, pinned types, as many scans as headers.
 
-    A file without a header that names all columns is a KeyError. Files of one header are read
-    together, so there are as many scans as headers, and one of the lines to find those.
+    A header that does not name all columns is a KeyError.
     """
-    text = spark.read.option("pathGlobFilter", pattern).text(folder)
-    named = reduce(and_, (F.col("value").contains(c) for c in METADATA))
-    headers = {unquote(r.path): next(csv.reader([r.header])) for r in text.where(named).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("value").alias("header")).collect()}
-    by_path = {urlparse(p).path: h for p, h in headers.items()}
-    bare = sorted(p for p in text.inputFiles() if not set(METADATA) <= set(by_path.get(unquote(urlparse(p).path), ())))
-    if bare:
+    if bare := sorted(p for line, paths in headers.items() if not set(METADATA) <= set(next(csv.reader([line]), ())) for p in paths):
         raise KeyError(f"{len(bare)} file(s) lack columns of {list(METADATA)}: {bare[:5]}")
-    if not headers:
-        raise FileNotFoundError(f"no {pattern} in {folder}")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in headers.items():
-        groups.setdefault(tuple(header), []).append(path)
     read = spark.read.option("header", True).option("nullValue", "")
     parts = []
-    for header, paths in sorted(groups.items()):
-        raw = read.schema(", ".join(f"`{c}` string" for c in header)).csv(sorted(paths))
+    for line, paths in sorted(headers.items()):
+        raw = read.schema(", ".join(f"`{c}` string" for c in next(csv.reader([line])))).csv(sorted(paths))
         parts.append(raw.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in METADATA.items())))
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_metadata(spark: SparkSession, folder: str, pattern: str = "p[0-9]*.csv") -> DataFrame:
+    """The per-problem CSV files of a folder; each file may order its columns its own way.
+
+    Executors list the files and read their first lines; files of one header are read together.
+    """
+    headers: dict[str, list[str]] = {}
+    for row in list_tree(spark, folder, pattern, "path string, length long, head string").where("length > 0").collect():
+        headers.setdefault(row["head"], []).append(f"{folder.rstrip('/')}/{row['path']}")
+    if not headers:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return metadata_files(spark, headers)
+
+
 def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     return raw.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.cpp") -> DataFrame:
-    """(path relative to the folder, length, content) of all files below it.
-
-    Spark's reader opens no empty files; they are added from its own listing.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    root = urlparse(folder).path.rstrip("/") + "/"
-    listed = spark.createDataFrame([(unquote(urlparse(p).path),) for p in found.inputFiles()], "path string")
-    authority = urlparse(folder).netloc
-    read = found.select(F.regexp_replace("path", rf"^[a-z0-9]+:/*{authority}/+", "/").alias("path"), "length", "content")
-    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    return read.unionByName(empty).select(F.replace("path", F.lit(root), F.lit("")).alias("path"), "length", "content")
+    """(path relative to the folder, length, content) of all files below it, empty ones too."""
+    return read_tree(spark, folder, pattern)
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "archive_path") -> DataFrame:
@@ -111,17 +106,3 @@ def copy_file(spark: SparkSession, src: str, dst: str) -> None:
     conf = spark._jsc.hadoopConfiguration()
     a, b = hadoop.Path(src), hadoop.Path(dst)
     hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
-
-
-def write_tree(files: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> None:
-    """Each row's content as a file below a folder that all executors share; parents are made."""
-
-    def put(rows) -> None:
-        for row in rows:
-            target = Path(folder) / row[path_col]
-            if not target.resolve().is_relative_to(Path(folder).resolve()):
-                raise ValueError(f"{row[path_col]!r} leaves the folder")
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_bytes(bytes(row[content_col]))
-
-    files.select(path_col, content_col).foreachPartition(put)
