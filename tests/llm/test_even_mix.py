@@ -6,7 +6,7 @@ from lakeloom.llm.mixing import LEVEL_BITS, LEVELS, document_hash, mix_sources,
 
 
 def test_budget_ends_at_a_bucket(spark):
-    hashed = spark.range(20_000).select("id", document_hash(F.col("id"), 20).alias("h")).orderBy("h").collect()
+    hashed = spark.range(20_000).select("id", document_hash(F.col("id"), F.lit("word"), 20).alias("h")).orderBy("h").collect()
     bucket = [r.h >> LEVEL_BITS * (LEVELS - 1) for r in hashed]
     cut = next(k for k in range(1_000, 20_000) if bucket[k - 1] < bucket[k] == bucket[k + 1])
     half, full = hashed[cut - 500 : cut], hashed[cut : cut + 500]
