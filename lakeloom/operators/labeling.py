@@ -83,3 +83,11 @@ def label_distribution(labeled: DataFrame) -> DataFrame:
 def language_status_matrix(df: DataFrame) -> DataFrame:
     """Counts of all languages, before any is dropped."""
     return df.groupBy("language", "status").agg(F.count("*").alias("n"))
+
+
+def leaf_coverage(labeled: DataFrame) -> DataFrame:
+    """Every leaf of the taxonomy, with the rows of its coarse class, and those that a label tells as the leaf (terminal leaves alone)."""
+    counts = labeled.groupBy("coarse_label").agg(F.count("*").alias("class_rows"))
+    leaves = vocab.dim_leaf(labeled.sparkSession).join(counts, "coarse_label", "left")
+    rows = F.coalesce("class_rows", F.lit(0))
+    return leaves.select("leaf_id", "leaf", "coarse_label", "coarse_id", "tier", "terminal", rows.alias("class_rows"), F.when(F.col("terminal"), rows).otherwise(0).alias("leaf_rows"))

@@ -24,8 +24,13 @@ RESULT = "submission_id string, problem_id string, outcome string, stderr string
 
 def encoding_survey(files: DataFrame, n: int = 2_000, seed: int = SEED, id_col: str = "submission_id") -> DataFrame:
     """(encoding, n, high_byte) over a seeded sample of exactly ``n`` files."""
-    picked = exact_sample(files, id_col, n, seed).select(encoding_of(F.col("content")).alias("encoding"), has_high_byte(F.col("content")).alias("high"))
-    return picked.groupBy("encoding").agg(F.count("*").alias("n"), F.count_if("high").alias("high_byte"))
+    return encoding_counts(exact_sample(files, id_col, n, seed))
+
+
+def encoding_counts(files: DataFrame) -> DataFrame:
+    """(encoding, n, high_byte) over all files."""
+    told = files.select(encoding_of(F.col("content")).alias("encoding"), has_high_byte(F.col("content")).alias("high"))
+    return told.groupBy("encoding").agg(F.count("*").alias("n"), F.count_if("high").alias("high_byte"))
 
 
 def classify_stderr(stderr: Column) -> Column:

@@ -28,6 +28,12 @@ def resolve_quotas(class_totals: dict[str, int] = CLASS_TOTALS, ratios: dict[str
     return out
 
 
+def measured_totals(df: DataFrame, share: float, label_col: str = "coarse_label") -> dict[str, int]:
+    """Class -> a share of the rows that the class has, at least one; rows of other labels are left out."""
+    counts = df.where(F.col(label_col).isin(list(COARSE))).groupBy(label_col).agg(F.count("*").alias("n"))
+    return {r[0]: max(1, round(r["n"] * share)) for r in counts.collect()}
+
+
 def quota_table(spark, quotas: dict[tuple[str, str], int]) -> DataFrame:
     rows = [(s, c, n) for (s, c), n in sorted(quotas.items(), key=lambda q: (SPLITS.index(q[0][0]), COARSE.index(q[0][1]) if q[0][1] in COARSE else 0, q[0][1]))]
     return spark.createDataFrame(rows, "split string, coarse_label string, requested int")

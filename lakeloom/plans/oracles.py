@@ -127,7 +127,8 @@ SQL: dict[str, str] = {
     "problem_overlap_group": _SKEW + _allocated("labeled") + " " + _pairs("rows_split", "problem_id"),
     "problem_overlap_random": _SKEW + f", x AS ({_random('labeled', 'split')}) " + _pairs("x", "problem_id"),
     "chain_straddle": _SUB + _allocated("labeled") + f", x AS ({_random('rows_split', 'random_split')}), c AS (SELECT count(*) AS n, count(DISTINCT split) AS a, count(DISTINCT random_split) AS b FROM x GROUP BY user_id, problem_id) SELECT count(*) AS chains, count(*) FILTER (n > 1) AS multi, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS submissions, count(*) FILTER (n > 1 AND a > 1) AS split_straddling, count(*) FILTER (n > 1 AND b > 1) AS random_split_straddling FROM c",
-    "quota_table": f"SELECT split, coarse_label, CAST(requested AS INTEGER) AS requested FROM (VALUES {_VALUES([(s, c, n) for (s, c), n in resolve_quotas().items()])}) t(split, coarse_label, requested)",
+    "quota_table": _SUB + ", t AS (SELECT coarse_label, greatest(1, round_even(count(*) * CAST(0.1 AS DOUBLE), 0)) AS n FROM labeled GROUP BY coarse_label), q AS (SELECT coarse_label, n, round_even(n * CAST(0.6 AS DOUBLE), 0) AS train, round_even(n * CAST(0.2 AS DOUBLE), 0) AS val FROM t) "
+    + " UNION ALL ".join(f"SELECT '{split}' AS split, coarse_label, CAST({x} AS INTEGER) AS requested FROM q" for split, x in (("train", "train"), ("val", "val"), ("test", "n - train - val"))),
     "round_robin_sample": _SKEW + _allocated("labeled") + _drawn("rows_split") + " SELECT submission_id, problem_id, split, coarse_label FROM drawn",
     "sampling_report": _SKEW + _allocated("labeled") + _drawn("rows_split") + f", cells AS (SELECT * FROM (VALUES ('train'), ('val'), ('test')) a(split) CROSS JOIN (VALUES {_VALUES([(c,) for c in vocab.COARSE])}) b(coarse_label)), av AS (SELECT split, coarse_label, count(*) AS available FROM rows_split GROUP BY ALL), pg AS (SELECT split, coarse_label, problem_id, count(*) AS n FROM drawn GROUP BY ALL), tk AS (SELECT split, coarse_label, CAST(sum(n) AS BIGINT) AS taken, count(*) AS problems, max(n) AS m FROM pg GROUP BY ALL) SELECT split, coarse_label, CAST({_QUOTA} AS INTEGER) AS requested, coalesce(available, 0) AS available, coalesce(taken, 0) AS taken, greatest({_QUOTA} - coalesce(taken, 0), 0) AS shortfall, coalesce(problems, 0) AS problems, coalesce(m, 0) AS max_per_problem FROM cells LEFT JOIN av USING (split, coarse_label) LEFT JOIN tk USING (split, coarse_label)",
     "round_robin_coverage": _SKEW + ", k AS (SELECT *, md5('42:' || submission_id) AS k FROM labeled), t AS (SELECT *, row_number() OVER (PARTITION BY coarse_label, problem_id ORDER BY k, submission_id) AS turn, row_number() OVER (PARTITION BY coarse_label ORDER BY k, submission_id) AS plain FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY coarse_label ORDER BY turn, k, submission_id) AS pos FROM t) SELECT coarse_label, count(DISTINCT CASE WHEN pos <= 100 THEN problem_id END) AS round_robin_groups, count(DISTINCT CASE WHEN plain <= 100 THEN problem_id END) AS naive_groups FROM p GROUP BY coarse_label",
@@ -144,7 +145,8 @@ SQL: dict[str, str] = {
     "byte_check": "SELECT doc_id AS id, n_chars AS code_size, CAST(strlen(text) AS INTEGER) AS length, strlen(text) - n_chars AS diff FROM documents",
     "byte_check_summary": "SELECT count(*) AS compared, avg(CASE WHEN strlen(text) = n_chars THEN 1.0 ELSE 0.0 END) AS equal_share, min(strlen(text) - n_chars) AS least, max(strlen(text) - n_chars) AS most FROM documents",
     "worst_byte_diffs": "SELECT doc_id AS id, n_chars AS code_size, CAST(strlen(text) AS INTEGER) AS length, strlen(text) - n_chars AS diff FROM documents ORDER BY abs(strlen(text) - n_chars) DESC, doc_id LIMIT 5",
-    "taxonomy_leaf_dim": f"SELECT CAST(a AS INTEGER) AS leaf_id, b AS leaf, c AS coarse_label, CAST(d AS INTEGER) AS coarse_id, CAST(e AS INTEGER) AS tier, f AS terminal FROM (VALUES {_VALUES([(k, leaf, parent, vocab.COARSE.index(parent), tier, leaf == parent) for k, (leaf, parent, tier) in enumerate(vocab.LEAVES)])}) t(a, b, c, d, e, f)",
+    "taxonomy_leaf_dim": _SUB + f", d AS (SELECT CAST(a AS INTEGER) AS leaf_id, b AS leaf, c AS coarse_label, CAST(d AS INTEGER) AS coarse_id, CAST(e AS INTEGER) AS tier, f AS terminal FROM (VALUES {_VALUES([(k, leaf, parent, vocab.COARSE.index(parent), tier, leaf == parent) for k, (leaf, parent, tier) in enumerate(vocab.LEAVES)])}) t(a, b, c, d, e, f))" + ", c AS (SELECT coarse_label, count(*) AS n FROM labeled GROUP BY coarse_label) SELECT d.*, coalesce(n, 0) AS class_rows, CASE WHEN terminal THEN coalesce(n, 0) ELSE 0 END AS leaf_rows FROM d LEFT JOIN c ON c.coarse_label = d.coarse_label",
+    "encoding_mix": "WITH f AS (SELECT doc_id % 5 AS kind, regexp_matches(text, '[^\\x00-\\x7F]') AS high FROM documents) SELECT CASE kind WHEN 0 THEN 'shift_jis' WHEN 1 THEN 'neither' ELSE 'utf-8' END AS encoding, count(*) AS n, count(*) FILTER (kind < 2 OR high) AS high_byte FROM f GROUP BY ALL",
     "encoding_survey": """SELECT 'utf-8' AS encoding, count(*) AS n, count(*) FILTER (strlen(text) <> len(text)) AS high_byte FROM (
   SELECT text FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR) LIMIT 2000) HAVING count(*) > 0""",
     "metadata_csv": _METADATA,

@@ -107,7 +107,9 @@ def chain_straddle(spark, sf_dir):
 
 
 def quota_table(spark, sf_dir):
-    return sampling.quota_table(spark, sampling.resolve_quotas())
+    """Quotas of a tenth of each class."""
+    totals = sampling.measured_totals(_labeled(spark, sf_dir, False), 0.1)
+    return sampling.quota_table(spark, sampling.resolve_quotas(totals))
 
 
 def round_robin_sample(spark, sf_dir):
@@ -246,6 +248,15 @@ def encoding_survey(spark, sf_dir):
     return probe.encoding_survey(corpus(spark, sf_dir))
 
 
+def encoding_mix(spark, sf_dir):
+    """Encodings of all files, where every fifth one ends in Shift-JIS bytes and every fifth in bytes of no encoding."""
+    files = corpus(spark, sf_dir)
+    kind, plain = F.col("submission_id").cast("long") % 5, F.regexp_replace(F.decode("content", "UTF-8"), r"[^\x00-\x7F]", "")
+    ends = lambda tail: F.concat(F.encode(plain, "UTF-8"), F.lit(tail))
+    mixed = F.when(kind == 0, ends("日本語".encode("shift_jis"))).when(kind == 1, ends(b"\x80\xff")).otherwise(F.col("content"))
+    return probe.encoding_counts(files.select(mixed.alias("content")))
+
+
 def compile_probe(spark, sf_dir):
     n = corpus(spark, sf_dir).where("coarse_label = 'COMPILE_ERROR'").count()
     return probe.compile_probe(corpus(spark, sf_dir), min(n, probe.PILOT_ROWS))
@@ -316,7 +327,7 @@ QUERIES: dict[str, Query] = {
     "byte_check": byte_check,
     "byte_check_summary": lambda spark, sf_dir: audit.byte_check_summary(byte_check(spark, sf_dir)),
     "worst_byte_diffs": worst_byte_diffs,
-    "taxonomy_leaf_dim": lambda spark, sf_dir: vocab.dim_leaf(spark),
+    "taxonomy_leaf_dim": lambda spark, sf_dir: labeling.leaf_coverage(_labeled(spark, sf_dir, False)),
     "exact_n_sample": exact_n_sample,
     "metadata_csv": metadata_csv,
     "report_csv": report_csv,
@@ -327,6 +338,7 @@ QUERIES: dict[str, Query] = {
     "artifact_digests": artifact_digests,
     "guarded_manifest": guarded_manifest,
     "encoding_survey": encoding_survey,
+    "encoding_mix": encoding_mix,
     "compile_probe": compile_probe,
     "predict_distribution": predict_distribution,
     "clean_corpus": clean_corpus,

@@ -52,3 +52,12 @@ def test_paths_and_missing_column(spark, manifest):
     assert [r.archive_path for r in out.collect()] == ["Project_CodeNet/data/p1/C++/s1.cpp", None]
     with pytest.raises(KeyError):
         draw(manifest.drop("problem_id"))
+
+
+def test_quotas_from_measured_classes(spark):
+    rows = [(c,) for c, n in zip(COARSE, (100, 55, 9, 31)) for _ in range(n)] + [("OTHER",), (None,)]
+    df = spark.createDataFrame(rows, "coarse_label string")
+    totals = sampling.measured_totals(df, 0.5)
+    assert totals == dict(zip(COARSE, (50, 28, 4, 16)))
+    quotas = sampling.resolve_quotas(totals)
+    assert sum(quotas.values()) == 98 and quotas["train", COARSE[0]] == 30

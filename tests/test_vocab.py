@@ -39,3 +39,12 @@ def test_near_misses_raise(near):
 def test_all_unknown_are_named():
     with pytest.raises(vocab.UnknownVerdictError, match=r"2 unknown.*\['Aha', 'Oho'\]"):
         vocab.check_verdicts(["Oho", "Accepted", "Aha", "Oho", "Wrong Answer"])
+
+
+def test_leaves_with_the_rows_of_their_class(spark):
+    from lakeloom.operators.labeling import leaf_coverage
+
+    df = spark.createDataFrame([("LOGICAL",)] * 3 + [("RUNTIME_ERROR",)] * 2, "coarse_label string")
+    rows = {r.leaf: (r.class_rows, r.leaf_rows) for r in leaf_coverage(df).collect()}
+    assert len(rows) == len(vocab.LEAVES)
+    assert rows["LOGICAL"] == (3, 3) and rows["SIGFPE"] == (2, 0) and rows["ERROR_FREE"] == (0, 0)
