@@ -303,7 +303,10 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     keys = rows.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
     first = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    copies = scratch.keep(keys.join(first, ["h1", "h2"]).where("doc > first").select("doc", "first").distinct(), "copies")
+    # a document of several texts is none of them whole: its texts are met by their seeds
+    several = keys.groupBy("doc").agg(*(f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max))).where("min_h1 < max_h1 or min_h2 < max_h2").select("doc")
+    copies = keys.join(first, ["h1", "h2"]).where("doc > first").select("doc", "first").distinct()
+    copies = scratch.keep(copies.join(several, "doc", "left_anti"), "copies")
 
     # computed for each of the two uses: partial aggregation makes a common seed small on one side,
     # and the join may split its rows on the other
