@@ -18,7 +18,7 @@ from lakeloom.vocab import SEED
 
 # What a linker's message holds, and the probe's size and reserve.
 LINKER_MARKS = ("undefined reference", "collect2: error: ld returned")
-PILOT_ROWS, TIMEOUT_S, RESERVE = 500, 15, 30_000
+PILOT_ROWS, TIMEOUT_S, RESERVE, TAIL = 500, 15, 30_000, 300
 RESULT = "submission_id string, problem_id string, outcome string, stderr string"
 
 
@@ -38,6 +38,12 @@ def classify_stderr(stderr: Column) -> Column:
     return F.when(a | b, "LINKER").otherwise("OTHER")
 
 
+def classified(probed: DataFrame) -> DataFrame:
+    """Adds the classification of failures, null for other outcomes, and the last 300 characters of what the compiler said."""
+    failed = F.when(F.col("outcome") == "FAILED", classify_stderr(F.col("stderr")))
+    return probed.withColumn("classification", failed).withColumn("stderr_tail", F.right("stderr", F.lit(TAIL)))
+
+
 def _compile(command: tuple[str, ...], timeout: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with tempfile.TemporaryDirectory(prefix="probe_") as folder:
@@ -70,8 +76,7 @@ def compile_probe(files: DataFrame, n: int = PILOT_ROWS, seed: int = SEED, timeo
     if (have := errors.count()) < n:
         raise ValueError(f"only {have} compile errors; {n} are needed")
     probed = exact_sample(errors, "submission_id", n, seed).repartition(32).mapInPandas(_compile(command, timeout), RESULT)
-    failed = F.when(F.col("outcome") == "FAILED", classify_stderr(F.col("stderr")))
-    return probed.select("submission_id", "problem_id", "outcome", failed.alias("classification"), F.right("stderr", F.lit(300)).alias("stderr_tail"))
+    return classified(probed).select("submission_id", "problem_id", "outcome", "classification", "stderr_tail")
 
 
 def probe_summary(report: DataFrame, sampled: int = PILOT_ROWS, reserve: int = RESERVE) -> DataFrame:

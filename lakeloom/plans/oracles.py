@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lakeloom import vocab
-from lakeloom.operators.sampling import resolve_quotas
+from lakeloom.operators.probe import LINKER_MARKS
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
 _VERDICTS = f"verdicts(status, coarse_label, discard_reason, kept) AS (SELECT * FROM (VALUES {_VALUES([(v, c, r, c is not None) for v, c, r in vocab.VERDICTS])}) t(a, b, c, d))"
@@ -96,6 +96,8 @@ _GUARDS = {
 }
 _DRAWN = lambda k: f"CAST(CAST('0x' || substr(md5('42:' || doc_id || ':{k}'), 1, 8) AS BIGINT) % 1000003 + 1 AS DOUBLE)"
 
+_LABELED_COLUMNS = sorted(("submission_id", "problem_id", "user_id", "status", "date", "code_size", "original_language", "coarse_label"))
+
 SQL: dict[str, str] = {
     "verdict_distribution": _SUB + " SELECT status, count(*) AS n, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM submissions), 2) AS pct FROM submissions GROUP BY status",
     "language_status_matrix": _SUB + " SELECT language, status, count(*) AS n FROM submissions GROUP BY ALL",
@@ -153,7 +155,9 @@ SQL: dict[str, str] = {
     "incremental_metadata": _METADATA,
     "archive_members": _CORPUS + " SELECT 'Project_CodeNet/data/' || problem_id || '/C++/' || submission_id || '.cpp' AS name, bytes AS size, true AS regular FROM corpus WHERE problem_id LIKE 'src1%'",
     "extracted_tree": _CORPUS + " SELECT problem_id || '/C++/' || submission_id || '.cpp' AS path, bytes AS length, sha256 FROM corpus",
-    "artifact_digests": _SKEW + _allocated("labeled") + f", r AS (SELECT split, sha256({' || '.join(map(_CELL, sorted(('submission_id', 'problem_id', 'user_id', 'status', 'date', 'code_size', 'original_language', 'coarse_label'))))}) AS h FROM rows_split) SELECT split, count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS digest FROM r GROUP BY split",
+    "artifact_digests": _SKEW + _allocated("labeled") + f", r AS (SELECT split, sha256({' || '.join(map(_CELL, _LABELED_COLUMNS))}) AS h FROM rows_split) SELECT split, count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS digest FROM r GROUP BY split",
+    "frozen_config": _SKEW + _allocated("labeled") + f", r AS (SELECT split, sha256({' || '.join(map(_CELL, sorted((*_LABELED_COLUMNS, 'split'))))}) AS h FROM rows_split) SELECT CAST(42 AS BIGINT) AS seed, '{vocab.TAXONOMY_VERSION}' AS taxonomy_version, " + ", ".join(f"count(*) FILTER (split = '{x}') AS {x}_rows" for x in vocab.SPLITS) + f", sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS digest FROM r",
+    "stderr_classes": f"WITH s AS (SELECT doc_id, doc_id % 5 AS kind, coalesce(text, '') || CASE doc_id % 5 WHEN 1 THEN ': {LINKER_MARKS[0]} to main' WHEN 2 THEN chr(10) || '{LINKER_MARKS[1]} 1 exit status' ELSE '' END AS said FROM documents) SELECT doc_id, CASE kind WHEN 0 THEN 'COMPILED_CLEAN' ELSE 'FAILED' END AS outcome, CASE WHEN kind = 0 THEN NULL WHEN contains(said, '{LINKER_MARKS[0]}') OR contains(said, '{LINKER_MARKS[1]}') THEN 'LINKER' ELSE 'OTHER' END AS classification, right(said, 300) AS stderr_tail FROM s",
     "guarded_manifest": _SUB + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER ({c}) AS n FROM labeled" for m, c in _GUARDS.items()),
     "predict_distribution": f"WITH s AS (SELECT doc_id, [{', '.join(map(_DRAWN, range(len(vocab.SERVING_CLASSES))))}] AS s FROM documents WHERE len(text) BETWEEN 1 AND 50000), p AS (SELECT doc_id, list_transform(s, lambda x: x / list_sum(s)) AS p FROM s) SELECT doc_id, {list(vocab.SERVING_CLASSES)}[list_position(p, list_max(p))] AS predicted_class, round(list_max(p), 9) AS confidence, "
     + ", ".join(f"round(p[{k + 1}], 9) AS p_{label}" for k, label in enumerate(vocab.SERVING_CLASSES)) + ", 'dummy-random-v1' AS model_name, true AS is_placeholder FROM p",

@@ -257,6 +257,26 @@ def encoding_mix(spark, sf_dir):
     return probe.encoding_counts(files.select(mixed.alias("content")))
 
 
+def stderr_classes(spark, sf_dir):
+    """What would be said of each file by a compiler that fails on all but every fifth, told by its end, with a linker's message for some."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kind = F.col("doc_id") % 5
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(kind == 1, f": {probe.LINKER_MARKS[0]} to main").when(kind == 2, f"\n{probe.LINKER_MARKS[1]} 1 exit status").otherwise(""))
+    probed = docs.select("doc_id", F.when(kind == 0, "COMPILED_CLEAN").otherwise("FAILED").alias("outcome"), said.alias("stderr"))
+    return probe.classified(probed).select("doc_id", "outcome", "classification", "stderr_tail")
+
+
+def frozen_config(spark, sf_dir):
+    """The record of the split manifest, written as JSON, copied and read back: rows of each split, and the digest."""
+    final = _split(spark, sf_dir)
+    counts = {r["split"]: r["rows"] for r in splitting.split_summary(final).collect()}
+    folder = new_folder(spark, "config")
+    readers.write_config(freeze.freeze_config(final, row_counts=counts, findings={}), f"{folder}/first.json")
+    readers.copy_file(spark, f"{folder}/first.json", f"{folder}/copy.json")
+    told = spark.read.option("multiLine", True).json(f"{folder}/copy.json")
+    return told.select("split.seed", "taxonomy_version", *(F.col(f"row_counts.{s}").alias(f"{s}_rows") for s in vocab.SPLITS), F.col("artifact_digest.value").alias("digest"))
+
+
 def compile_probe(spark, sf_dir):
     n = corpus(spark, sf_dir).where("coarse_label = 'COMPILE_ERROR'").count()
     return probe.compile_probe(corpus(spark, sf_dir), min(n, probe.PILOT_ROWS))
@@ -339,6 +359,8 @@ QUERIES: dict[str, Query] = {
     "guarded_manifest": guarded_manifest,
     "encoding_survey": encoding_survey,
     "encoding_mix": encoding_mix,
+    "stderr_classes": stderr_classes,
+    "frozen_config": frozen_config,
     "compile_probe": compile_probe,
     "predict_distribution": predict_distribution,
     "clean_corpus": clean_corpus,

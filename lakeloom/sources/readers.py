@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.sources.files import opened
 from lakeloom.sources.tree import list_tree, read_tree, write_tree
 
 __all__ = ["METADATA", "copy_file", "list_tree", "load_config", "metadata_files", "read_dimension", "read_files", "read_lines", "read_metadata", "read_tree", "write_config", "write_lines", "write_parquet", "write_report", "write_tree"]
@@ -75,12 +76,14 @@ def read_lines(spark: SparkSession, path: str, name: str = "archive_path") -> Da
 
 
 def load_config(path: str | Path) -> dict[str, Any]:
-    """A YAML file; FileNotFoundError if there is none."""
+    """A YAML file at a local path or URI; FileNotFoundError if there is none."""
     import yaml
 
-    if not Path(path).exists():
+    system, place = opened(str(path))
+    if not system.get_file_info(place).is_file:
         raise FileNotFoundError(f"no config at {path}")
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    with system.open_input_stream(place, compression=None) as stream:
+        return yaml.safe_load(stream.read().decode("utf-8"))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -97,7 +100,11 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_config(config: dict[str, Any], path: str | Path) -> None:
-    Path(path).write_text(json.dumps(config, indent=2), encoding="utf-8")
+    """A JSON file at a local path or URI."""
+    system, place = opened(str(path))
+    system.create_dir(place.rpartition("/")[0] or ".")
+    with system.open_output_stream(place, compression=None) as stream:
+        stream.write(json.dumps(config, indent=2).encode("utf-8"))
 
 
 def copy_file(spark: SparkSession, src: str, dst: str) -> None:
