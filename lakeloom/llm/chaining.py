@@ -19,6 +19,7 @@ The result names passages of the later document and where they stand in the earl
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,11 +112,11 @@ def chain(later: np.ndarray, earlier: np.ndarray) -> list[list[int]]:
     ranks = {p: k for k, p in enumerate(sorted(set(b)))}
     tree = _Fenwick(len(ranks))
     score, before = [float(K)] * len(a), [-1] * len(a)
-    waiting: list[int] = []
+    waiting: deque[int] = deque()
     for i in range(len(a)):
         # matches at the same later position do not follow each other
         while waiting and a[waiting[0]] < a[i]:
-            j = waiting.pop(0)
+            j = waiting.popleft()
             tree.put(ranks[b[j]], (score[j] + GAP_COST * (a[j] + b[j]), j))
         rank = ranks[b[i]] - 1
         if rank >= 0:
@@ -143,16 +144,56 @@ def chain(later: np.ndarray, earlier: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chains(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The chains of one pair of documents, as word spans with their anchors' diagonals."""
-    later, earlier = table["at"].to_numpy(), table["e_at"].to_numpy()
-    rows = []
-    for path in chain(later, earlier):
-        a, b = later[path], earlier[path]
-        rows.append((int(a[0]), int(a[-1]) + K, int(b[0]), int(b[-1]) + K, a.tolist(), b.tolist()))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    ints = pa.list_(pa.int32())
-    return pa.table({"doc": pa.array([key[0].as_py()] * len(rows), pa.int64()), "e_doc": pa.array([key[1].as_py()] * len(rows), pa.int64()), **{n: pa.array(c, t) for n, c, t in zip(("a0", "a1", "b0", "b1", "a_at", "b_at"), cols, (pa.int32(),) * 4 + (ints,) * 2, strict=True)}})
+CHAINS = "doc long, e_doc long, a0 int, a1 int, b0 int, b1 int, a_at array<int>, b_at array<int>"
+PAIR = ("doc", "e_doc", "at", "e_at")
+
+
+def _told_chains(doc: np.ndarray, e_doc: np.ndarray, later: np.ndarray, earlier: np.ndarray, opens: np.ndarray) -> pa.RecordBatch:
+    """Chains given as stretches of matches, each from one place of ``opens`` to the next: word spans with their anchors."""
+    ends = np.append(opens[1:], len(later)) - 1
+    offsets = pa.array(np.append(opens, len(later)).astype(np.int32))
+    spans = [x.astype(np.int32) for x in (later[opens], later[ends] + K, earlier[opens], earlier[ends] + K)]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (later, earlier)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[opens]), pa.array(e_doc[opens]), *map(pa.array, spans), *lists], names=["doc", "e_doc", "a0", "a1", "b0", "b1", "a_at", "b_at"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of each pair of documents, from matches in order of (doc, e_doc, at, e_at).
+
+    Pairs whose matches are on one diagonal are cut at wide gaps, all of a batch at once; the others
+    go through the tree one by one. A pair that goes on in the next batch waits for it.
+    """
+
+    def chained(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, e_doc, later, earlier = rows
+        if not len(doc):
+            return
+        new = np.ones(len(doc), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(e_doc) != 0)
+        steps, others = np.diff(later, prepend=0), np.diff(earlier, prepend=0)
+        bent = ~new & ((steps != others) | (steps <= 0))
+        pair = np.cumsum(new) - 1
+        tree = np.zeros(pair[-1] + 1, bool)
+        tree[pair[bent]] = True
+        straight = ~tree[pair]
+        if straight.any():
+            opens = np.flatnonzero((new | (steps > GAP + K))[straight])
+            yield _told_chains(doc[straight], e_doc[straight], later[straight], earlier[straight], opens)
+        starts = np.append(np.flatnonzero(new), len(doc))
+        places = [lo + np.array(path) for lo, hi in ((starts[p], starts[p + 1]) for p in np.flatnonzero(tree)) for path in chain(later[lo:hi], earlier[lo:hi])]
+        if places:
+            order = np.concatenate(places)
+            opens = np.cumsum([0, *map(len, places[:-1])])
+            yield _told_chains(doc[order], e_doc[order], later[order], earlier[order], opens)
+
+    kept = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        rows = [np.concatenate([k, batch.column(c).to_numpy().astype(np.int64)]) for k, c in zip(kept, PAIR, strict=True)]
+        same = (rows[0] == rows[0][-1:]) & (rows[1] == rows[1][-1:])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last pair starts
+        yield from chained([r[:last] for r in rows])
+        kept = [r[last:] for r in rows]
+    yield from chained(kept)
 
 
 def align(x: list[int], y: list[int]) -> int:
@@ -316,7 +357,8 @@ def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, identi
     source = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("e"), F.max("doc").alias("last")).where("e.doc < last").select("seed", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
     shared = seeds.join(source, "seed").select("doc", "at", "e_doc", "e_at")
     shared = scratch.keep(shared.join(copies.select("doc"), "doc", "left_anti"), "shared")
-    found = shared.where("doc > e_doc").groupBy("doc", "e_doc").applyInArrow(_chains, "doc long, e_doc long, a0 int, a1 int, b0 int, b1 int, a_at array<int>, b_at array<int>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = shared.where("doc > e_doc").repartition(parts, "doc", "e_doc").sortWithinPartitions(*PAIR).select(*PAIR).mapInArrow(textvec.frugal(_chains), CHAINS)
 
     def window(low: str, high: str) -> tuple[Column, Column]:
         """Words around a chain, in steps of ``STEP`` so that chains at one passage share a window."""
