@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 12 << 20  # of a written table, up to which it is broadcast
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files go when it has ended, and Python workers are given batches of some bytes, not rows.
+WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,8 +40,9 @@ class Scratch:
 
         The shuffle files of the write go when it has ended. ``hashes``: dictionaries of its values would not pay.
         """
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WRITES}
+        for k, v in WRITES.items():
+            self.spark.conf.set(k, v)
         try:
             writer = df.write.mode("overwrite")
             if hashes:
@@ -49,7 +51,8 @@ class Scratch:
                 writer = writer.partitionBy(partition_by)
             writer.parquet(f"{self.root}/{name}")
         finally:
-            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v else self.spark.conf.unset(k)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def size(self, name: str) -> int:
