@@ -3,9 +3,10 @@
 A text is a sequence of word hashes. Of each run of ``K`` words the least hash is its minimal
 inner substring; the run is a closed syncmer if that stands at its first or last place. Whether a
 run is chosen depends on the run alone, so a passage has the same anchors wherever it stands.
-A fingerprint keeps the ``KEEP`` distinct anchors with the least hashes, each with its first word
+A fingerprint holds all distinct anchors of the text in order of hash, each with its first word
 position: equal texts have equal fingerprints, and the share of anchors that two of them hold in the
-same order estimates how much of them is alike in place.
+same order tells how much of them is alike in place. ``anchors`` and ``likeness`` by themselves can
+also work on a sketch, the ``KEEP`` anchors with the least hashes, which only estimates that share.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 4  # words in an anchor
-KEEP = 128  # anchors in a fingerprint
+KEEP = 128  # anchors in a sketch
 RANGE_ROWS = 2_000  # documents in a range of neighbours,
 MOST_RANGES = 1_000  # unless that makes more ranges than this; larger ranges spill
 
 
-def anchors(text: Column, k: int = K, keep: int = KEEP) -> Column:
-    """array<struct(hash, position)> of the least ``keep`` distinct closed syncmers of a text, at their first places.
+def anchors(text: Column, k: int = K, keep: int | None = KEEP) -> Column:
+    """array<struct(hash, position)> of the distinct closed syncmers of a text in order of hash, at their first places: the least ``keep``, or all (None).
 
     A text of fewer than ``k`` words is one anchor, an empty one has none.
     """
@@ -29,7 +30,7 @@ def anchors(text: Column, k: int = K, keep: int = KEEP) -> Column:
     return F.transform(F.array(hashes), lambda h: _chosen(h, k, keep))[0]
 
 
-def _chosen(h: Column, k: int, keep: int) -> Column:
+def _chosen(h: Column, k: int, keep: int | None) -> Column:
     n = F.size(h)
 
     def run(j: Column) -> Column:
@@ -42,7 +43,7 @@ def _chosen(h: Column, k: int, keep: int) -> Column:
     ordered = F.sort_array(F.when(n >= k, found).otherwise(short))
     # equal hashes stand together, the first place first
     distinct = F.transform(F.array(ordered), lambda s: F.filter(s, lambda a, i: ~a["hash"].eqNullSafe(F.get(s, i - 1)["hash"])))[0]
-    return F.slice(distinct, 1, keep)
+    return distinct if keep is None else F.slice(distinct, 1, keep)
 
 
 def as_text(chosen: Column) -> Column:
@@ -58,33 +59,45 @@ def _let(value: Column, body) -> Column:
 def _longest_rise(places: Column) -> Column:
     """Length of the longest increasing subsequence; places that rise already, as those of equal parts do, are only counted."""
     rises = F.size(F.filter(places, lambda x, i: (i > 0) & (x <= F.get(places, i - 1)))) == 0
-    # the least end of a rise of each length, in order; a place ends the rise that is one longer than all that end before it
-    ends = F.aggregate(places, F.array().cast("array<int>"), lambda ends, x: _let(F.size(F.filter(ends, lambda e: e < x)), lambda n: F.concat(F.slice(ends, 1, n), F.array(x), F.slice(ends, n + 2, F.size(ends)))))
+    # the least end of a rise of each length, in order; a place ends the rise that is one longer than all that end before it,
+    # and how many do is found by halving
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), lambda step: step <= F.size(places))
+
+    def with_place(ends: Column, x: Column, halves: Column) -> Column:
+        before = F.aggregate(halves, F.lit(0), lambda n, step: F.when(F.get(ends, n + step - 1) < x, n + step).otherwise(n))
+        return _let(before, lambda n: F.concat(F.slice(ends, 1, n), F.array(x), F.slice(ends, n + 2, F.size(ends))))
+
+    ends = _let(steps, lambda halves: F.aggregate(places, F.array().cast("array<bigint>"), lambda ends, x: with_place(ends, x, halves)))
     return F.when(rises, F.size(places)).otherwise(F.size(ends))
 
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """Share of the least ``keep`` anchors of both texts that match in place; 1 for two texts without any.
+def likeness(a: Column, b: Column, keep: int | None = KEEP) -> Column:
+    """Share of the anchors of both texts (of the least ``keep`` of them, unless None) that match in place; 1 for two texts without any.
 
     Anchors that both hold match in place if they stand in one order in both: of those in common the
     longest run that rises in both texts counts, so moved parts do not add up. For texts that keep
-    their order this estimates the Jaccard similarity of all anchors.
+    their order this is the Jaccard similarity of all anchors, or an estimate of it from the least ones.
     """
-    place = lambda chosen: F.map_from_arrays(chosen["hash"], chosen["position"])
+    if keep is not None:
+        return _let(F.element_at(F.slice(F.sort_array(F.array_union(a["hash"], b["hash"])), 1, keep), -1), lambda last: likeness(*(F.filter(x, lambda e: e["hash"] <= last) for x in (a, b)), None)) if keep else F.lit(1.0)
 
-    def common(both: Column) -> Column:
-        shared = F.array_intersect(both, F.array_intersect(a["hash"], b["hash"]))
-        met = _let(F.struct(place(a).alias("a"), place(b).alias("b")), lambda at: F.sort_array(F.transform(shared, lambda h: F.struct(at["a"][h].alias("a"), at["b"][h].alias("b")))))
-        rise = _let(met["b"], _longest_rise)
-        return F.when(F.size(both) == 0, 1.0).otherwise(rise / F.size(both))
+    def common(met: Column) -> Column:
+        both = F.size(a) + F.size(b) - F.size(met)
+        rise = _let(F.transform(F.sort_array(met), lambda at: at.bitwiseAND(0x7FFFFFFF)), _longest_rise)
+        return F.when(both == 0, 1.0).otherwise(rise / both)
 
-    return _let(F.slice(F.sort_array(F.array_union(a["hash"], b["hash"])), 1, keep), common)
+    # two lists in order of hash are merged: an anchor of both stands beside its twin; a match is both places in one number
+    of = lambda x, side: F.transform(x, lambda e: F.struct(e["hash"].alias("hash"), F.lit(side).alias("side"), e["position"].cast("long").alias("at")))
+    sides = F.concat(of(a, 0), of(b, 1))
+    twin = lambda s, i: F.get(s, i + 1)
+    met = _let(F.sort_array(sides), lambda s: F.filter(F.transform(s, lambda e, i: F.when(e["hash"] == twin(s, i)["hash"], F.shiftleft(e["at"], 32).bitwiseOR(twin(s, i)["at"]))), lambda m: m.isNotNull()))
+    return _let(met, common)
 
 
 def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, anchors) of every row; a null text is empty and has no anchors."""
+    """(doc_id, text, anchors) of every row, with all its anchors; a null text is empty and has none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *others).withColumn("anchors", anchors(F.col("text")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *others).withColumn("anchors", anchors(F.col("text"), keep=None))
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,13 +134,13 @@ def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Each text's fingerprint, that of its edited text, and their likeness.
 
     The edited text has its last third replaced by as much of the next document's beginning.
-    Null texts are empty; equal texts have likeness 1, texts without common anchors 0. Extra
+    All anchors of each text count. Null texts are empty; equal texts have likeness 1, texts without common anchors 0. Extra
     columns are ignored; repeated rows stay; an empty table gives an empty result.
     """
     pairs = with_next(docs, id_col=id_col, text_col=text_col).withColumn("n_chars", F.char_length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("next_text", F.lit(1), cut))
-    read = pairs.select("doc_id", "n_chars", edited.alias("edited"), anchors(F.col("text")).alias("own"), anchors(F.col("next_text")).alias("next"))
-    read = read.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", anchors(F.col("edited")).alias("changed"))
+    read = pairs.select("doc_id", "n_chars", edited.alias("edited"), anchors(F.col("text"), keep=None).alias("own"), anchors(F.col("next_text"), keep=None).alias("next"))
+    read = read.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", anchors(F.col("edited"), keep=None).alias("changed"))
     own, changed, following = (F.col(c) for c in ("own", "changed", "next"))
-    return read.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
+    return read.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(own, changed, None).alias("near_edited"), likeness(own, following, None).alias("near_next"))
