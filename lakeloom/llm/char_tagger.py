@@ -10,18 +10,26 @@ PAD, LETTER, DIGIT, BLANK, OTHER = 0, 96, 97, 98, 99  # besides 1 to 95 for prin
 CODES = 100
 HIDDEN = 16
 STEPS, BATCH, RATE = 320, 48, 0.02
+ROWS = 512  # windows that are read side by side, so that they stay in the cache
+
+
+def char_codes(text: str) -> np.ndarray:
+    """The class of each character of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((points >= 32) & (points < 127), points.astype(np.int64) - 31, OTHER).astype(np.int16)
+    others = np.flatnonzero(codes == OTHER)
+    if len(others):
+        distinct, which = np.unique(points[others], return_inverse=True)
+        kinds = [LETTER if c.isalpha() else DIGIT if c.isdigit() else BLANK if c.isspace() else OTHER for c in map(chr, distinct.tolist())]
+        codes[others] = np.array(kinds, np.int16)[which]
+    return codes
 
 
 def encoded(texts: list[str], width: int) -> np.ndarray:
     """Character classes of each text, padded to ``width``."""
     out = np.zeros((len(texts), width), np.int16)
     for row, text in zip(out, texts, strict=True):
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where((points >= 32) & (points < 127), points.astype(np.int64) - 31, OTHER)
-        for k in np.flatnonzero(codes == OTHER):
-            c = text[k]
-            codes[k] = LETTER if c.isalpha() else DIGIT if c.isdigit() else BLANK if c.isspace() else OTHER
-        row[: len(codes)] = codes
+        row[: len(text)] = char_codes(text)
     return out
 
 
@@ -69,25 +77,78 @@ class Tagger:
                 kept.append((*before, z, told))
         return np.concatenate([out[0], out[1][:, ::-1]], axis=2), both, kept
 
+    def _emitted(self, codes: np.ndarray) -> np.ndarray:
+        """Emissions as (width, tags, rows): the gates of ``_states`` with rows last, so that they are next to each other in memory."""
+        w = self.weights
+        hidden, (rows, width) = w["recurrent"].shape[1], codes.shape
+        slope = np.full(4 * hidden, 0.5, np.float32)
+        slope[3 * hidden :] = 1
+        inputs = np.ascontiguousarray((w["inputs"] * slope).transpose(0, 2, 1))
+        recurrent = np.ascontiguousarray((w["recurrent"] * slope).transpose(0, 2, 1))
+        told = np.ascontiguousarray(w["out"].reshape(2, hidden, -1).transpose(0, 2, 1))
+        out = np.empty((width, told.shape[1], rows), np.result_type(told, w["bias"]))
+        out[:] = w["bias"][:, None]
+        for first in range(0, rows, ROWS):
+            steps = np.ascontiguousarray(codes[first : first + ROWS].T).astype(np.intp)
+            h, c = np.zeros((2, 2, hidden, steps.shape[1]), inputs.dtype)
+            x = np.empty((2, 4 * hidden, steps.shape[1]), inputs.dtype)
+            for t in range(width):
+                for d, at in enumerate((t, width - 1 - t)):
+                    np.take(inputs[d], steps[at], axis=1, out=x[d], mode="clip")
+                z = np.matmul(recurrent, h)
+                z += x
+                np.tanh(z, out=z)
+                z[:, : 3 * hidden] += 1
+                i, f, o, g = (z[:, k * hidden : (k + 1) * hidden] for k in range(4))
+                c *= f
+                i *= g
+                c += i
+                c *= 0.5
+                np.tanh(c, out=h)
+                h *= o
+                h *= 0.5
+                said = np.matmul(told, h)
+                out[t, :, first : first + ROWS] += said[0]
+                out[width - 1 - t, :, first : first + ROWS] += said[1]
+        return out
+
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        states, _, _ = self._states(codes, False)
-        return states @ self.weights["out"] + self.weights["bias"]
+        return self._emitted(codes).transpose(2, 0, 1)
+
+    def _quiet(self, emitted: np.ndarray) -> np.ndarray:
+        """Rows of (width, tags, rows) whose best path is outside all along for certain.
+
+        A path gains at most the lead of its tags, what moves into, within and out of a run of tags add,
+        and the ends; where that is below 0 for the first tag of a run and not above it for any further
+        one, no path is as good.
+        """
+        w = self.weights
+        moves = w["moves"] - w["moves"][0, 0]
+        opens = max(0.0, float(moves[0, 1:].max())) + max(0.0, float(moves[1:, 0].max())) + float(w["first"].max() - w["first"][0] + w["last"].max() - w["last"][0])
+        lead = (emitted[:, 1:].max(1) - emitted[:, 0]).max(0)
+        return (lead + opens < -1e-3) & (lead + float(moves[1:, 1:].max()) < 0)
 
     def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tags, confidence) of each character: the best path of each row, and the softmax of its emissions."""
-        w, emitted = self.weights, self.emissions(codes)
-        rows, width, _ = emitted.shape
+        """(tags, confidence) of each character: the best path of each row, and the softmax of its emissions (1 in rows that are outside for certain)."""
+        w, emitted = self.weights, self._emitted(codes)
+        width, _, rows = emitted.shape
+        tags, sure = np.zeros((rows, width), np.int64), np.ones((rows, width), emitted.dtype)
+        read = np.flatnonzero(~self._quiet(emitted))
+        if not len(read):
+            return tags, sure
+        emitted = np.ascontiguousarray(emitted[:, :, read].transpose(2, 0, 1))
         best, back = emitted[:, 0] + w["first"], np.empty(emitted.shape, np.int8)
         for t in range(1, width):
             step = best[:, :, None] + w["moves"]
             back[:, t] = step.argmax(1)
             best = step.max(1) + emitted[:, t]
-        path = np.empty((rows, width), np.int64)
+        path = np.empty((len(read), width), np.int64)
         path[:, -1] = (best + w["last"]).argmax(1)
         for t in range(width - 1, 0, -1):
             path[:, t - 1] = np.take_along_axis(back[:, t], path[:, t, None], 1)[:, 0]
         weight = np.exp(emitted - emitted.max(2, keepdims=True))
-        return path, np.take_along_axis(weight / weight.sum(2, keepdims=True), path[..., None], 2)[..., 0]
+        tags[read], sure[read] = path, np.take_along_axis(weight / weight.sum(2, keepdims=True), path[..., None], 2)[..., 0]
+        return tags, sure
 
     def gradients(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the rows' tags under the CRF, and its gradients."""

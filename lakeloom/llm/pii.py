@@ -1,8 +1,8 @@
 """Personal data: patterns with exact checks, and a character tagger that finds spans written in other ways.
 
 The tagger, a bidirectional LSTM with CRF transitions, learns from the patterns' own spans and from
-disguised copies of them ("at" for @, spaced or bracketed dots, other separators). It reads every place
-of a text that can hold a span, in overlapping windows; parts of a span from several windows are joined
+disguised copies of them ("at" for @, spaced or bracketed dots, other separators). It reads a
+text in overlapping windows, leaving out only those that can change no result (``windows``); parts of a span from several windows are joined
 and overlaps settled over the whole text. A span it adds has to pass the check of its kind once its
 disguise is undone.
 """
@@ -10,6 +10,7 @@ disguise is undone.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.char_tagger import BATCH, Tagger, encoded
+from lakeloom.llm.char_tagger import BATCH, CODES, LETTER, PAD, Tagger, char_codes, encoded
 from lakeloom.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,8 +37,13 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match starts with its run of digits, so runs are not tried twice
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Where a span can be: a sign for "at", or four digits close to each other.
+#: Where training windows are drawn: at a sign for "at", or four digits close to each other.
 _PLACE = re.compile(r"@|[\[({]\s?[Aa][Tt]\s?[\])}]|\b(?:at|AT) [A-Za-z0-9-]{1,40} ?[\[(]?(?:dot\b|DOT\b|\. ?[A-Za-z0-9])|[0-9](?:(?:[^0-9A-Za-z]{0,3}|[\[( ]dot[\]) ])[0-9]){3,}+")
+_DIGITS, _LETTERS = (np.zeros(CODES, bool) for _ in range(2))
+_DIGITS[[ord(c) - 31 for c in "0123456789"]] = True
+_LETTERS[[LETTER, *(ord(c) - 31 for c in string.ascii_letters if c not in "dotDOT")]] = True
+_AT_SIGN = re.compile(r"@|\b[Aa][Tt]\b")
+_DOMAIN_PARTS = re.compile(r"\s*+[\])}]?+\s*+(?:[A-Za-z0-9-]++(?:\s*+[\[({]?+\s*+(?:\.|[Dd][Oo][Tt]\b)\s*+[\])}]?+\s*+)?+)*+")
 _AT = re.compile(r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*", re.IGNORECASE)
 _DOT = re.compile(r"\s*[\[({]?\s*(?:\.|\bdot\b)\s*[\])}]?\s*", re.IGNORECASE)
 
@@ -105,7 +111,7 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that can hold a span, with context, merged where they meet."""
+    """Parts of a text around the places that training windows are drawn from, with context, merged where they meet."""
     out: list[tuple[int, int]] = []
     for m in _PLACE.finditer(text):
         start, end = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
@@ -116,17 +122,71 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Windows of at most ``WIDTH`` over all regions, each ``STRIDE`` from the one before."""
-    out = []
-    for start, end in regions(text):
-        while end - start > WIDTH:
-            out.append((start, start + WIDTH))
-            start += STRIDE
-        out.append((start, end))
+def _digit_parts(codes: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal parts of a text without letters, other than those of "dot", that hold four digits: no address, card or phone is plausible across or outside them."""
+    ends = np.flatnonzero(_LETTERS[codes])
+    bounds = np.concatenate([[0], ends + 1]), np.append(ends, len(codes))
+    digits = np.concatenate([[0], np.cumsum(_DIGITS[codes])])
+    many = digits[bounds[1]] - digits[bounds[0]] >= 4
+    return list(zip(bounds[0][many].tolist(), bounds[1][many].tolist(), strict=True))
+
+
+def _mail_parts(text: str) -> list[tuple[int, int]]:
+    """Parts of a text around each "at" that a domain with a dot follows, as far as name and domain can go: no mail is plausible across or outside them."""
+    out: list[tuple[int, int]] = []
+    read, good = 0, False
+    for m in _AT_SIGN.finditer(text):
+        if m.end() >= read:  # otherwise it stands within a domain that has been read
+            read = _DOMAIN_PARTS.match(text, m.end()).end()
+            good = "." in (said := text[m.end() : read]) or "dot" in said.lower()
+        if not good:
+            continue
+        start, least = m.start(), out[-1][1] if out else 0
+        while start > least:
+            gap = start
+            while gap > least and (text[gap - 1].isspace() or text[gap - 1] in "[](){}."):
+                gap -= 1
+            spelled = text[max(gap - 3, 0) : gap].lower() == "dot"
+            if start < m.start() and gap < start and "." not in text[gap:start] and not spelled:
+                break
+            name = gap
+            while name > least and text[name - 1] in _LOCAL:
+                name -= 1
+            if name == gap:
+                break
+            start = name
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(read, out[-1][1]))
+        else:
+            out.append((start, read))
     return out
 
 
+def all_windows(text: str) -> list[tuple[int, int]]:
+    """Windows of at most ``WIDTH`` over the whole text, each ``STRIDE`` from the one before."""
+    starts = range(0, max(len(text) - WIDTH + STRIDE - 1, 0) // STRIDE * STRIDE + 1, STRIDE) if text else ()
+    return [(start, min(start + WIDTH, len(text))) for start in starts]
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """Those of ``all_windows`` that meet a part where a span can be plausible: the others can change no result.
+
+    An added span is plausible, so it lies within one such part, and so do the tagged runs that were
+    joined to it; each of their windows meets the part. A run that leaves the part makes what it is joined to
+    implausible, whichever windows are read.
+    """
+    found = _digit_parts(char_codes(text)) + _mail_parts(text)
+    every = all_windows(text)
+    if not found or not every:
+        return []
+    steps = np.zeros(len(every) + 1, np.int64)
+    a, b = np.array(found, np.int64).T
+    # window k is k * STRIDE to k * STRIDE + WIDTH
+    np.add.at(steps, np.clip((a - WIDTH) // STRIDE + 1, 0, len(every)), 1)
+    np.add.at(steps, np.clip((b - 1) // STRIDE + 1, 0, len(every)), -1)
+    return [every[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) > 0)]
+
+
 def tags_of(spans: Iterable[Span], start: int, end: int) -> np.ndarray:
     """Tags of a window: 0 outside, 1 + 2 k where a span of kind k begins, 2 + 2 k within; parts cut off at its start count as within."""
     out = np.zeros(end - start, np.int64)
@@ -249,18 +309,28 @@ def reconciled(found: list[tuple[str, int, int, float]], base: list[Span], text:
     return out
 
 
+def _windowed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, character classes, start, end) of the windows of all texts, ``MOST_WINDOWS`` at a time."""
+    places = np.array([(k, a, b) for k, t in enumerate(texts) for a, b in windows(t)], np.int64).reshape(-1, 3)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.cumsum(sizes) - sizes
+    codes = np.concatenate([char_codes("".join(texts)), np.zeros(WIDTH, np.int16)])
+    for first in range(0, len(places), MOST_WINDOWS):
+        k, a, b = places[first : first + MOST_WINDOWS].T
+        rows = codes[(at[k] + a)[:, None] + np.arange(WIDTH)]
+        rows[np.arange(WIDTH) >= (b - a)[:, None]] = PAD
+        yield k, rows, a, b
+
+
 def found_spans(texts: list[str], tagger: Tagger | None) -> list[list[tuple[str, int, int, bool]]]:
     """(kind, start, end, base) of each text, in order."""
     base = [base_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
     if tagger:
-        places = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(t)]
-        for first in range(0, len(places), MOST_WINDOWS):
-            part = places[first : first + MOST_WINDOWS]
-            tags, sure = tagger.decode(encoded([texts[k][a:b] for k, a, b in part], WIDTH))
-            for row in np.flatnonzero((tags > 0).any(1)):
-                k, a, b = part[row]
-                added[k] += [(kind, a + s, a + e, p) for kind, s, e, p in tagged_spans(tags[row, : b - a], sure[row])]
+        for k, row, a, b in _windowed(texts):
+            tags, sure = tagger.decode(row)
+            for n in np.flatnonzero((tags > 0).any(1)):
+                added[k[n]] += [(kind, int(a[n]) + s, int(a[n]) + e, p) for kind, s, e, p in tagged_spans(tags[n, : b[n] - a[n]], sure[n])]
     out = []
     for text, own, more in zip(texts, base, added, strict=True):
         spans = [(*s, True) for s in own] + [(*s, False) for s in reconciled(more, own, text)]
