@@ -12,12 +12,11 @@ A line is the set of its words. Two lines match when their Jaccard similarity is
    filter), and of the smaller one a word of a shorter head. Pairs that do pass the length filter, the positional filter and a bitmap: every word
    flips one bit of 64 (of 128 in long lines), so sets differ in as many words at least as bits.
    All three act inside the join.
-4. A word meets all its earlier holders, but a common one only its first holder, found by
-   partial aggregation (in each of ``HEADS`` shares), so a large group of variants costs a few
-   pairs a member. Of a class's partners the likest by bitmap is verified on the whole sets.
-5. In a second pass, classes with further partners, if that one fails, meet all holders of their
-   rare words, and all unmatched ones all holders of their common words, each pair at its first
-   common word only; all these pairs are verified.
+4. A word meets only its first holder, found by partial aggregation (a common one that in each of
+   ``HEADS`` shares), so a large group of variants costs a few pairs a member. Of a class's partners
+   the likest by bitmap is verified on the whole sets.
+5. Classes that are not matched then meet all earlier holders of their words, by a common word only
+   if it is the first that both hold; all these pairs are verified.
 """
 
 from __future__ import annotations
@@ -101,19 +100,19 @@ class _Lines:
         classes = self.placed.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
         self.classes = scratch.keep(classes, "classes", hashes=True)
 
-    def entries(self, classes: DataFrame, part: str = "all", prefix: bool = False) -> DataFrame:
+    def entries(self, classes: DataFrame, part: str = "all", prefix: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
         """Prefix words of every class, with the class's place and what the filters need.
 
         ``part``: "head" has those that a set at least as large must share, "tail" the rest.
-        ``prefix``: each carries them all, as p.
+        ``prefix``: each carries them all, as p. ``extra``: columns of ``classes`` to carry.
         """
         head = F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)).cast("int") + 1
         first = F.greatest(head, F.lit(0)) if part == "tail" else F.lit(0)
         held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p"))}[part]
         at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(first)
-        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", *["p"] * prefix)
+        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", *["p"] * prefix, *extra)
         # (hashes first, small numbers after them: such rows compress better)
-        spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") + F.col("pos")).alias("at"), "more", *["p"] * prefix)
+        spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") + F.col("pos")).alias("at"), "more", *["p"] * prefix, *extra)
         # (nothing is null; said here so that joins by unlike conditions read one shuffle)
         return spread.where("t is not null and id is not null and at is not null")
 
@@ -158,40 +157,38 @@ class _Lines:
         # the order of partners: by the share of words that differ, then by hash
         score = F.shiftleft(F.floor(1000 * differ / (x_size + y_size)).cast("long"), 44)
         pair = c.alias("c"), e.alias("e"), score.bitwiseOR(e.bitwiseAND(2**44 - 1)).alias("score")
-        cold = self.entries(self.classes).where(F.col("t") < self.hot_from)
-        # two sets share a word of the smaller one's head and the larger one's prefix, sets of one size a word of both heads
-        heads, tails = (self.entries(self.classes, part).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
-        met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & alike & later).select(*pair)
-        first, last = F.when(later, e).otherwise(c), F.when(later, c).otherwise(e)
-        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size > y_size) & alike).select(last.alias("c"), first.alias("e"), score.bitwiseOR(first.bitwiseAND(2**44 - 1)).alias("score"))
         # (keys ascend, so the last one tells whether a class has a common word)
         hot_classes = F.element_at("p", -1) >= self.hot_from
         hot = self.entries(self.classes.where(hot_classes)).where(F.col("t") >= self.hot_from)
-        firsts = hot.groupBy("t", F.pmod(F.hash("c"), F.lit(HEADS))).agg(F.min(F.struct("id", "line", "c", "at", "bits", "more")).alias("e")).select("t", "e.*")
-        led = hot.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
-        first = scratch.keep(met.union(met_tail).union(led).groupBy("c").agg(F.min_by("e", "score").alias("e"), (F.min("e") < F.max("e")).alias("many")), "first-pairs")
-        matched = self.verified(first.select("c", "e"), "first")
-        # what is left: rare words of classes with further partners, common words of all
-        known = scratch.small(matched.withColumn("done", F.lit(True)), "first")
-        failed = scratch.keep(first.where("many").join(known, "c", "left").where("done is null").select("c"), "failed")
-        open_ = self.classes.join(known, "c", "left").where("done is null")
-        asked = scratch.keep(self.entries(self.classes.join(scratch.small(failed, "failed"), "c")).where(F.col("t") < self.hot_from), "asked")
-        late = cold.alias("y").join(scratch.small(asked, "asked").alias("x"), same & alike & later).select(*pair[:2])
+
+        def led(of: DataFrame, *shares: Column) -> DataFrame:
+            """Pairs of each holder of a word and its first holders, one in each share."""
+            firsts = of.groupBy("t", *shares).agg(F.min(F.struct("id", "line", "c", "at", "bits", "more")).alias("e")).select("t", "e.*")
+            return of.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
+
+        rare = self.entries(self.classes, "head").where(F.col("t") < self.hot_from)
+        led_pairs = scratch.keep(led(rare).union(led(hot, F.pmod(F.hash("c"), F.lit(HEADS)))).groupBy("c").agg(F.min_by("e", "score").alias("e")), "led-pairs")
+        settled = self.verified(led_pairs, "led")
+        opened = self.classes.join(scratch.small(settled.withColumn("done", F.lit(True)), "led"), "c", "left").withColumn("open", F.col("done").isNull())
+        # two sets share a word of the smaller one's head and the larger one's prefix, sets of one size a word of both heads
+        heads, tails = (self.entries(opened, part, extra=("open",)).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
+        met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & F.col("x.open") & alike & later).select(*pair[:2])
+        asks = F.when(later, F.col("x.open")).otherwise(F.col("y.open"))
+        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size > y_size) & asks & alike).select(F.when(later, c).otherwise(e).alias("c"), F.when(later, e).otherwise(c).alias("e"))
         # common words: a pair meets at its first common word only, before which there is none to count
         common = self.entries(self.classes.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from)
-        asked_hot = scratch.keep(self.entries(open_.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from), "asked-hot")
+        asked_hot = scratch.keep(self.entries(opened.where("open").where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from), "asked-hot")
         left = F.least(*(F.shiftright(F.col(f"{side}.at"), 32) - F.col(f"{side}.at").bitwiseAND(0x7FFFFFFF) for side in "xy"))
         enough = (100 + self.percent) * left >= self.percent * (x_size + y_size)
         opens = F.get(F.array_intersect("x.p", "y.p"), F.lit(0)) == F.col("x.t")
         late_hot = common.alias("y").join(scratch.small(asked_hot, "asked-hot").alias("x"), same & enough & alike & later & opens).select(*pair[:2])
-        late = late.union(late_hot).distinct()
-        late = scratch.keep(late.join(first, ["c", "e"], "left_anti"), "late-pairs")
-        gone = scratch.keep(matched.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True)), "gone", hashes=True)
+        late = scratch.keep(met.union(met_tail).union(late_hot).distinct().join(led_pairs, ["c", "e"], "left_anti"), "late-pairs")
+        gone = scratch.keep(settled.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True)), "gone", hashes=True)
         judged = self.classes.join(scratch.small(gone, "gone"), "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
         judged = scratch.small(scratch.keep(judged, "judged"), "judged")
         lost = self.placed.select("id", "th", "line", "c", "n", "bits", "more").join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
         lost = scratch.keep(lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lost")
-        scratch.drop("placed", "classes", "first-pairs", "first", "failed", "asked", "asked-hot", "late-pairs", "late", "gone", "judged")
+        scratch.drop("placed", "classes", "led-pairs", "led", "asked-hot", "late-pairs", "late", "gone", "judged")
         return scratch.small(lost, "lost")
 
 
