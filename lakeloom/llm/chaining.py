@@ -38,6 +38,7 @@ LEAST_WORDS = 50  # of a passage
 IDENTITY = 0.8  # share of aligned words that are equal
 REACH = 32  # words that the ends of a passage may go on without a better score
 MARGIN, STEP = 128, 64  # words around a chain that its alignment may use; windows begin at steps
+NEAR = 40  # words beside a chain that are looked at first
 ALIGN_ROWS = 500  # chains that are held as Python values at once
 
 
@@ -218,6 +219,11 @@ def extend(x: list[int], y: list[int]) -> tuple[int, int, int]:
 
     Equal words score 1 and others -1, over edits of one word at a time; the best prefix counts.
     """
+    return _extended(x, y)[:3]
+
+
+def _extended(x: list[int], y: list[int]) -> tuple[int, int, int, int, int]:
+    """What ``extend`` gives, and how far it has read in both."""
     i = j = same = score = 0
     best = (0, 0, 0, 0)
     while i < len(x) and j < len(y) and score > best[0] - 8 and i - best[1] < REACH:
@@ -233,7 +239,15 @@ def extend(x: list[int], y: list[int]) -> tuple[int, int, int]:
         score += 1 if step[2] else -1
         if score > best[0]:
             best = (score, i, j, same)
-    return best[1:]
+    return (*best[1:], i, j)
+
+
+def _extend_from(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """``extend`` of two arrays; only if it does not end within ``NEAR`` words all of them become Python numbers."""
+    *best, i, j = _extended(x[:NEAR].tolist(), y[:NEAR].tolist())
+    if i + 1 >= NEAR or j + 1 >= NEAR:
+        return extend(x.tolist(), y.tolist())
+    return tuple(best)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +311,12 @@ def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], identity:
     Ends that would make it less alike than ``identity`` are left off.
     """
     # (word by word, Python's own numbers are read faster than an array's)
-    x, y = x.tolist(), y.tolist()
     same = K
     for a1, b1, a2, b2 in zip(a, b, a[1:], b[1:], strict=False):
         straight = a2 - a1 == b2 - b1 and a2 - a1 <= K
-        same += a2 - a1 if straight else align(x[a1 + K : a2 + K], y[b1 + K : b2 + K])
-    front = extend(x[: a[0]][::-1], y[: b[0]][::-1])
-    back = extend(x[a[-1] + K :], y[b[-1] + K :])
+        same += a2 - a1 if straight else align(x[a1 + K : a2 + K].tolist(), y[b1 + K : b2 + K].tolist())
+    front = _extend_from(x[: a[0]][::-1], y[: b[0]][::-1])
+    back = _extend_from(x[a[-1] + K :], y[b[-1] + K :])
     none = (0, 0, 0)
     for f, g in sorted(((front, back), (front, none), (none, back), (none, none)), key=lambda e: -e[0][0] - e[1][0]):
         span = a[0] - f[0], a[-1] + K + g[0], b[0] - f[1], b[-1] + K + g[1], same + f[2] + g[2]
@@ -312,16 +325,34 @@ def passage(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], identity:
     return span
 
 
+def _stretches(column: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each row of a binary column, as views of its buffer."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], wide, column.offset + len(column) + 1)[column.offset :].tolist()
+    data = column.buffers()[2]
+    return [np.frombuffer(data, np.uint64, (hi - lo) // 8, lo) if hi > lo else np.zeros(0, np.uint64) for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def _shifted(column: pa.Array, by: np.ndarray) -> list[list[int]]:
+    """The lists of a column, each less a number of its row."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    values = (column.values.to_numpy()[at[0] : at[-1]] - np.repeat(by, np.diff(at))).tolist()
+    at = (at - at[0]).tolist()
+    return [values[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+
+
 def _aligned(least: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, ALIGN_ROWS) for b in batches for k in range(0, b.num_rows, ALIGN_ROWS)):
             out = []
-            for c in batch.to_pylist():
-                x, y = (np.frombuffer(c[n], np.uint64) for n in ("x", "y"))
-                a0, a1, b0, b1, same = passage(x, y, [p - c["aw0"] for p in c["a_at"]], [p - c["bw0"] for p in c["b_at"]], identity)
+            # (read from the buffers: a row as a dict of Python values costs as much as its alignment)
+            doc, e_doc, aw0, bw0 = (batch.column(c).to_numpy() for c in ("doc", "e_doc", "aw0", "bw0"))
+            rows = zip(doc.tolist(), e_doc.tolist(), aw0.tolist(), bw0.tolist(), _stretches(batch.column("x")), _stretches(batch.column("y")), _shifted(batch.column("a_at"), aw0), _shifted(batch.column("b_at"), bw0), strict=True)
+            for d, e, at, e_at, x, y, a, b in rows:
+                a0, a1, b0, b1, same = passage(x, y, a, b, identity)
                 words = max(a1 - a0, b1 - b0)
                 if min(a1 - a0, b1 - b0) >= least and same >= identity * words:
-                    out.append((c["doc"], a0 + c["aw0"], a1 + c["aw0"], c["e_doc"], b0 + c["bw0"], b1 + c["bw0"], same / words))
+                    out.append((d, a0 + at, a1 + at, e, b0 + e_at, b1 + e_at, same / words))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(),) * 6 + (pa.float64(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "identity"])
