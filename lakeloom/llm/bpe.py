@@ -18,6 +18,8 @@ import numpy as np
 from lakeloom.llm import textvec
 
 CACHE_PIECES = 200_000  # distinct pieces a worker remembers, some 30 MB, before it starts anew
+TABLE_POINTS = 1 << 14  # code points classed at once
+CHUNK = 1 << 18  # bytes of text encoded at once: working memory is some 60 times that
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _tables: list[np.ndarray] = []
@@ -29,14 +31,18 @@ def _code_point_tables() -> tuple[np.ndarray, np.ndarray]:
     if not _tables:
         from tokenizers import Regex, normalizers
 
-        points = np.arange(0x110000, dtype=np.uint32)
-        usable = (points < 0xD800) | (points > 0xDFFF)
-        text = points[usable].tobytes().decode("utf-32-le")
-        table = np.full(0x110000, _OTHER, np.uint8)
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):  # as the library's own engine has them
-            others = np.frombuffer(normalizers.Replace(Regex(pattern), "").normalize_str(text).encode("utf-32-le"), np.uint32)
-            table[np.setdiff1d(points[usable], others, assume_unique=True)] = kind
-        _tables.extend((table, textvec.mix(points.astype(np.uint64) + np.uint64(0xA0761D6478BD642F))))
+        table, hashes = np.full(0x110000, _OTHER, np.uint8), np.zeros(0x110000, np.uint64)
+        patterns = [(k, normalizers.Replace(Regex(p), "")) for k, p in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+"))]  # as the library's own engine has them
+        # (the library takes some 30 bytes for each byte that it replaces in: all code points at once are 150 MB)
+        for first in range(0, 0x110000, TABLE_POINTS):
+            points = np.arange(first, min(first + TABLE_POINTS, 0x110000), dtype=np.uint32)
+            hashes[points] = textvec.mix(points.astype(np.uint64) + np.uint64(0xA0761D6478BD642F))
+            usable = points[(points < 0xD800) | (points > 0xDFFF)]
+            text = usable.tobytes().decode("utf-32-le")
+            for kind, pattern in patterns if text else ():
+                others = np.frombuffer(pattern.normalize_str(text).encode("utf-32-le"), np.uint32)
+                table[np.setdiff1d(usable, others, assume_unique=True)] = kind
+        _tables.extend((table, hashes))
     return _tables[0], _tables[1]
 
 
@@ -140,7 +146,7 @@ class PieceEncoder:
 
     def chunked(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids, offsets in ids) for chunks of whole documents."""
-        for first, last in textvec.chunks(offsets):
+        for first, last in textvec.chunks(offsets, CHUNK):
             ids, at = self.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             yield first, last, ids, at
 

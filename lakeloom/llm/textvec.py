@@ -29,7 +29,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash's odd base and of its inverse, modulo 2**64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
+        size = 1 << max(18, n.bit_length())
         for k, base in enumerate((_BASE, _UNBASE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
