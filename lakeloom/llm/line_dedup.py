@@ -11,12 +11,12 @@ A line is the set of its words. Two lines match when their Jaccard similarity is
 3. Matching sets share one of the first ``n - ceil(percent * n / 100) + 1`` words of each (prefix
    filter), and of the smaller one a word of a shorter head. Pairs that do pass the length filter, the positional filter and a bitmap: every word
    flips one bit of 64 (of 128 in long lines), so sets differ in as many words at least as bits.
-   All three act inside the join.
-4. A word meets only its first holder, found by partial aggregation (a common one that in each of
-   ``HEADS`` shares), so a large group of variants costs a few pairs a member. Of a class's partners
-   the likest by bitmap is verified on the whole sets.
-5. Classes that are not matched then meet all earlier holders of their words, by a common word only
-   if it is the first that both hold; all these pairs are verified.
+   All three act inside the join, the bitmap first.
+4. The last words of a prefix and of its head meet only their first holder, a common word that in each
+   of ``HEADS`` shares, found by partial aggregation. So a large group of variants costs a few
+   pairs a member. Of a class's partners the likest by bitmap is verified on the whole sets.
+5. Classes that are not matched then meet all earlier holders of their words: where a run of common
+   words begins, by a common word only if it is the first that both hold. All these pairs are verified.
 """
 
 from __future__ import annotations
@@ -88,31 +88,36 @@ class _Lines:
         key = lambda h: F.coalesce(F.get(of_bucket, bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
 
         lines = self.texts.select("id", "th", F.posexplode(F.split(said, "\n")).alias("line", "words"))
-        hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
-        keyed = lines.select("id", "th", "line", F.array_remove(F.sort_array(F.array_distinct(F.transform(hashes, key))), key(F.xxhash64(F.lit("")))).alias("w"))
+        # (an inner transform for the hash alone takes longer than hashing a word twice)
+        keys = F.transform(F.split("words", " "), lambda w: key(F.xxhash64(w)))
+        keyed = lines.select("id", "th", "line", F.array_remove(F.sort_array(F.array_distinct(keys)), key(F.xxhash64(F.lit("")))).alias("w"))
         n = F.size("w")
         prefix = F.slice("w", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
         # (sets of a size that only equal sets can match need no prefix)
         partnered = (100 - percent) * n >= percent
         placed = keyed.select("id", "th", "line", n.alias("n"), F.xxhash64("w").alias("c"), _bitmap(F.col("w"), lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(n >= LONG, _bitmap(F.col("w"), lambda k: F.shiftright(k, 6).bitwiseAND(1))).otherwise(0).alias("more"), F.when(partnered, prefix).alias("p"))
         # a filter on n above would compute the keys twice
-        self.placed = scratch.keep(placed, "placed", hashes=True).where(F.col("n") >= max(least_words, 1))
-        classes = self.placed.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
+        kept = scratch.keep(placed, "placed", hashes=True).where(F.col("n") >= max(least_words, 1))
+        classes = kept.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
         self.classes = scratch.keep(classes, "classes", hashes=True)
+        # the prefixes are with the classes now
+        self.lines = scratch.keep(kept.drop("p"), "lines", hashes=True)
+        scratch.drop("placed")
 
     def entries(self, classes: DataFrame, part: str = "all", prefix: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
         """Prefix words of every class, with the class's place and what the filters need.
 
-        ``part``: "head" has those that a set at least as large must share, "tail" the rest.
-        ``prefix``: each carries them all, as p. ``extra``: columns of ``classes`` to carry.
+        ``part``: "head" has those that a set at least as large must share, "tail" the rest, "ends" the
+        last word of either (with no position, so that only the other filters act).
+        ``before``: the word before it. ``prefix``: each carries them all, as p. ``extra``: columns of ``classes`` to carry.
         """
         head = F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)).cast("int") + 1
         first = F.greatest(head, F.lit(0)) if part == "tail" else F.lit(0)
-        held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p"))}[part]
+        held = {"all": F.col("p"), "head": F.slice("p", F.lit(1), head), "tail": F.slice("p", first + 1, F.size("p")), "ends": F.array_distinct(F.array(F.get("p", head - 1), F.element_at("p", -1)))}[part]
         at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(first)
-        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", *["p"] * prefix, *extra)
+        spread = classes.where("p is not null").select(F.posexplode(held).alias("pos", "t"), F.col("first.id").alias("id"), F.col("first.line").alias("line"), "c", at.alias("at"), "bits", "more", "n", "p", *extra)
         # (hashes first, small numbers after them: such rows compress better)
-        spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") + F.col("pos")).alias("at"), "more", *["p"] * prefix, *extra)
+        spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") if part == "ends" else F.col("at") + F.col("pos")).alias("at"), "more", F.get("p", (first + F.col("pos") - 1).cast("int")).alias("before") if part != "ends" else F.lit(None).alias("before"), *["p"] * prefix, *extra)
         # (nothing is null; said here so that joins by unlike conditions read one shuffle)
         return spread.where("t is not null and id is not null and at is not null")
 
@@ -126,7 +131,9 @@ class _Lines:
         one, two = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("bits", "more"))
         # the bitmap of all words is that of either half by exclusive or: two long lines compare the halves
         differ = F.when(F.least(*size.values()) >= LONG, F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
-        alike = (100 * F.least(*size.values()) >= percent * F.greatest(*size.values())) & ((100 + percent) * ahead >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
+        # (first what hardly any pair passes, and what long lines pass as well: a bitmap of all words)
+        near = (100 + percent) * F.bit_count(one) <= (100 - percent) * both
+        alike = near & (100 * F.least(*size.values()) >= percent * F.greatest(*size.values())) & ((100 + percent) * ahead >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
         return size["x"], size["y"], differ, alike
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -161,34 +168,40 @@ class _Lines:
         hot_classes = F.element_at("p", -1) >= self.hot_from
         hot = self.entries(self.classes.where(hot_classes)).where(F.col("t") >= self.hot_from)
 
+        # a large group of variants shares the last words of heads and prefixes but for a few members: each of its members meets a first holder
+        # (dealt by word before they are grouped, so that the first holders and the join read one shuffle)
+        rare = self.entries(self.classes, "ends").where(F.col("t") < self.hot_from).select("t", "c", "bits", "id", "line", "at", "more").repartition("t")
+
         def led(of: DataFrame, *shares: Column) -> DataFrame:
             """Pairs of each holder of a word and its first holders, one in each share."""
             firsts = of.groupBy("t", *shares).agg(F.min(F.struct("id", "line", "c", "at", "bits", "more")).alias("e")).select("t", "e.*")
             return of.alias("x").join(firsts.alias("y"), same & alike & later).select(*pair)
 
-        rare = self.entries(self.classes, "head").where(F.col("t") < self.hot_from)
         led_pairs = scratch.keep(led(rare).union(led(hot, F.pmod(F.hash("c"), F.lit(HEADS)))).groupBy("c").agg(F.min_by("e", "score").alias("e")), "led-pairs")
         settled = self.verified(led_pairs, "led")
         opened = self.classes.join(scratch.small(settled.withColumn("done", F.lit(True)), "led"), "c", "left").withColumn("open", F.col("done").isNull())
+        # a pair that holds the same word just before meets there, at the same distance: it counts where a run of common words begins
+        opens = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
         # two sets share a word of the smaller one's head and the larger one's prefix, sets of one size a word of both heads
         heads, tails = (self.entries(opened, part, extra=("open",)).where(F.col("t") < self.hot_from) for part in ("head", "tail"))
-        met = heads.alias("x").join(heads.alias("y"), same & (F.col("x.id") >= F.col("y.id")) & F.col("x.open") & alike & later).select(*pair[:2])
+        # (asked in terms of both sides, a filter on one would give its heads a shuffle of their own)
         asks = F.when(later, F.col("x.open")).otherwise(F.col("y.open"))
-        met_tail = tails.alias("x").join(heads.alias("y"), same & (x_size > y_size) & asks & alike).select(F.when(later, c).otherwise(e).alias("c"), F.when(later, e).otherwise(c).alias("e"))
+        met = heads.alias("x").join(heads.alias("y"), same & alike & (F.col("x.id") >= F.col("y.id")) & opens & later & asks).select(*pair[:2])
+        met_tail = tails.alias("x").join(heads.alias("y"), same & alike & (x_size > y_size) & opens & asks).select(F.when(later, c).otherwise(e).alias("c"), F.when(later, e).otherwise(c).alias("e"))
         # common words: a pair meets at its first common word only, before which there is none to count
         common = self.entries(self.classes.where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from)
         asked_hot = scratch.keep(self.entries(opened.where("open").where(hot_classes), prefix=True).where(F.col("t") >= self.hot_from), "asked-hot")
         left = F.least(*(F.shiftright(F.col(f"{side}.at"), 32) - F.col(f"{side}.at").bitwiseAND(0x7FFFFFFF) for side in "xy"))
         enough = (100 + self.percent) * left >= self.percent * (x_size + y_size)
-        opens = F.get(F.array_intersect("x.p", "y.p"), F.lit(0)) == F.col("x.t")
-        late_hot = common.alias("y").join(scratch.small(asked_hot, "asked-hot").alias("x"), same & enough & alike & later & opens).select(*pair[:2])
+        first_common = F.get(F.array_intersect("x.p", "y.p"), F.lit(0)) == F.col("x.t")
+        late_hot = common.alias("y").join(scratch.small(asked_hot, "asked-hot").alias("x"), same & alike & enough & later & first_common).select(*pair[:2])
         late = scratch.keep(met.union(met_tail).union(late_hot).distinct().join(led_pairs, ["c", "e"], "left_anti"), "late-pairs")
         gone = scratch.keep(settled.union(self.verified(late, "late")).distinct().withColumn("gone", F.lit(True)), "gone", hashes=True)
         judged = self.classes.join(scratch.small(gone, "gone"), "c", "left").where("gone or k > 1").select("c", "n", "bits", "more", "first", "gone")
         judged = scratch.small(scratch.keep(judged, "judged"), "judged")
-        lost = self.placed.select("id", "th", "line", "c", "n", "bits", "more").join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
+        lost = self.lines.join(judged, ["c", "n", "bits", "more"]).where(F.col("gone").isNotNull() | (F.struct("id", "line", "th") > F.col("first")))
         lost = scratch.keep(lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lost")
-        scratch.drop("placed", "classes", "led-pairs", "led", "asked-hot", "late-pairs", "late", "gone", "judged")
+        scratch.drop("lines", "classes", "led-pairs", "led", "asked-hot", "late-pairs", "late", "gone", "judged")
         return scratch.small(lost, "lost")
 
 
