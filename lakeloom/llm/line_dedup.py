@@ -45,7 +45,7 @@ def plain(text: Column) -> Column:
 
 def line_words(line: Column) -> Column:
     """Distinct word hashes of a line of ``plain`` text."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _bitmap(keys: Column, flips: Callable[[Column], Column]) -> Column:
@@ -72,30 +72,33 @@ class _Lines:
         self.texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
         said = plain(F.col("text"))
         buckets = 1 << BUCKET_BITS
-        bucket = lambda h: h.bitwiseAND(buckets - 1).cast("int")
-        counted = self.texts.select(F.explode(F.split(F.replace(said, F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
+        bucket = lambda h: F.shiftrightunsigned(h, 64 - BUCKET_BITS)
+        counted = self.texts.select(F.explode(F.split(F.replace(said, F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).cast("int").alias("b")).agg(F.count("*").alias("k"))
         dense = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")).union(counted).groupBy("b").agg(F.sum("k").alias("k"))
         # one row of as many counts as buckets, and from it a constant of the plan: of fixed size
         counts = dense.agg(F.sort_array(F.collect_list(F.struct("b", "k"))).alias("all")).select(F.col("all.k").alias("k")).first().k
         order = sorted(range(buckets), key=counts.__getitem__)
-        places = [0] * buckets
+        # what turns a hash's bucket, its first bits, into the bucket's place; the other bits stay
+        turns = [0] * buckets
         for place, b in enumerate(order):
-            places[b] = (place - buckets // 2) << 64 - BUCKET_BITS
+            turn = b ^ (place - buckets // 2) % buckets
+            turns[b] = (turn - buckets if turn >= buckets // 2 else turn) << 64 - BUCKET_BITS
         common = max(HOT, HOT_TIMES * sum(counts) // buckets)
         self.hot_from = min((sum(k < common for k in counts) - buckets // 2) << 64 - BUCKET_BITS, LAST)
-        of_bucket = F.split(F.lit(",".join(map(str, places))), ",").cast("array<bigint>")
+        of_bucket = F.split(F.lit(",".join(map(str, turns))), ",").cast("array<bigint>")
         # (never null, and said so: arrays without nulls are sorted as primitive values)
-        key = lambda h: F.coalesce(F.get(of_bucket, bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
+        key = lambda h: h.bitwiseXOR(F.coalesce(F.get(of_bucket, bucket(h)), F.lit(0).cast("bigint")))
 
         lines = self.texts.select("id", "th", F.posexplode(F.split(said, "\n")).alias("line", "words"))
-        # (an inner transform for the hash alone takes longer than hashing a word twice)
-        keys = F.transform(F.split("words", " "), lambda w: key(F.xxhash64(w)))
-        keyed = lines.select("id", "th", "line", F.array_remove(F.sort_array(F.array_distinct(keys)), key(F.xxhash64(F.lit("")))).alias("w"))
-        n = F.size("w")
+        # (steps of a lambda are called one by one, so a word is hashed once, and only distinct ones get their keys;
+        # the hashes are used twice, so that they stay a column of compiled code and are not drawn into the lambda)
+        hashed = lines.select("id", "th", "line", line_words(F.col("words")).alias("h"))
+        keyed = hashed.select("id", "th", "line", F.size("h").alias("n"), F.sort_array(F.transform("h", key)).alias("w"))
+        n = F.col("n")
         prefix = F.slice("w", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
         # (sets of a size that only equal sets can match need no prefix)
         partnered = (100 - percent) * n >= percent
-        placed = keyed.select("id", "th", "line", n.alias("n"), F.xxhash64("w").alias("c"), _bitmap(F.col("w"), lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(n >= LONG, _bitmap(F.col("w"), lambda k: F.shiftright(k, 6).bitwiseAND(1))).otherwise(0).alias("more"), F.when(partnered, prefix).alias("p"))
+        placed = keyed.select("id", "th", "line", n, F.xxhash64("w").alias("c"), _bitmap(F.col("w"), lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(n >= LONG, _bitmap(F.col("w"), lambda k: F.shiftright(k, 6).bitwiseAND(1))).otherwise(0).alias("more"), F.when(partnered, prefix).alias("p"))
         # a filter on n above would compute the keys twice
         kept = scratch.keep(placed, "placed", hashes=True).where(F.col("n") >= max(least_words, 1))
         classes = kept.groupBy("c", "n", "bits", "more").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.first("p").alias("p"), F.count("*").alias("k"))
@@ -119,7 +122,7 @@ class _Lines:
         # (hashes first, small numbers after them: such rows compress better)
         spread = spread.select("t", "c", "bits", "id", "line", (F.col("at") if part == "ends" else F.col("at") + F.col("pos")).alias("at"), "more", F.get("p", (first + F.col("pos") - 1).cast("int")).alias("before") if part != "ends" else F.lit(None).alias("before"), *["p"] * prefix, *extra)
         # (nothing is null; said here so that joins by unlike conditions read one shuffle)
-        return spread.where("t is not null and id is not null and at is not null")
+        return spread.where("t is not null and c is not null and bits is not null and id is not null and line is not null and at is not null and more is not null")
 
     def sides(self) -> tuple[Column, Column, Column, Column]:
         """Of entries ``x`` and ``y``: their sizes, words they differ in at least, whether they pass the length, positional and bitmap filters."""
